@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import formatting, groups, ledger, overlap, quota
+from sieveline.llm import formatting, groups, ledger, overlap, pairs, quota
 from sieveline.session import shared_dir, ship, table
 
 
@@ -33,6 +33,10 @@ def p3_sample(spark, d):
     return ledger.sample(rows, ledger.extend(rows, path, 2))
 
 
+def p4_found(spark, d):
+    return pairs.broken_pairs(_rows(spark, d), table(spark, d, "projects"), table(spark, d, "documents"))
+
+
 def p5_found(spark, d):
     return groups.parted(_rows(spark, d))
 
@@ -70,7 +74,7 @@ def p7_collapsed(spark, d):
     return formatting.collapsed(_rows(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_sample, p5_found, p5_splits, p5_shares, p5_forest, p6_found, p6_report, p6_sample, p7_found, p7_collapsed)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_sample, p4_found, p5_found, p5_splits, p5_shares, p5_forest, p6_found, p6_report, p6_sample, p7_found, p7_collapsed)}
 
 _SIDE = """CASE WHEN lower(regexp_replace(split, '^\\s+|\\s+$', '', 'g')) IN ('tune','tuning','train','search') THEN 'tuning'
   WHEN lower(regexp_replace(split, '^\\s+|\\s+$', '', 'g')) IN ('holdout','held-out','heldout','held_out','test','validation','validate') THEN 'heldout' END"""
