@@ -132,7 +132,10 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
     """(row_id_a, row_id_b), the smaller first: all pairs of near-same rows of opposite sides."""
     members = rows.select("row_id", side(F.col("split")).alias("side"), canonical("input", "output").alias("words")).where("side IS NOT NULL")
     keyed = members.select("row_id", "side", "words", *_keys())
-    classes = keyed.groupBy("k1", "k2").agg(F.min("row_id").alias("rep"), F.max(F.col("side") == "tuning").alias("tuning"), F.max(F.col("side") == "heldout").alias("heldout"), F.min("words").alias("words"))
+    # Only the keys are shuffled to find the classes of several rows; texts stay where they are unless such classes are many.
+    several = cut(keyed.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("row_id").alias("rep"), F.max(F.col("side") == "tuning").alias("tuning"), F.max(F.col("side") == "heldout").alias("heldout")).where("n > 1").drop("n"))
+    own = lambda name: F.coalesce(F.col(name), F.col("side") == name).alias(name)
+    classes = keyed.join(_bounded(several), ["k1", "k2"], "left").where("rep IS NULL OR rep = row_id").select(F.col("row_id").alias("rep"), own("tuning"), own("heldout"), "words")
     signed = classes.select("rep", "tuning", "heldout", "words").mapInArrow(_signed, "rep long, tuning boolean, heldout boolean, sketch long, bands array<long>")
     placed = signed.select("rep", "tuning", "heldout", "sketch", F.explode("bands").alias("band"))
     t = placed.where("tuning").select("band", F.col("rep").alias("t"), F.col("sketch").alias("st"))
