@@ -86,8 +86,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         x = (h >> np.uint64(32)).astype(np.uint32)
         low = np.empty((len(keep), BANDS * ROWS_PER_BAND), np.uint32)
+        room = np.empty_like(x)
         for k in range(BANDS * ROWS_PER_BAND):
-            low[:, k] = np.minimum.reduceat(x * MULTIPLIERS[k] + ADDENDS[k], starts)
+            np.multiply(x, MULTIPLIERS[k], out=room)
+            np.add(room, ADDENDS[k], out=room)
+            low[:, k] = np.minimum.reduceat(room, starts)
         bands = np.empty((len(keep), BANDS), np.uint64)
         for b in range(BANDS):
             v = np.full(len(keep), b + 1, np.uint64)
@@ -124,43 +127,32 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _keys() -> list[Column]:
-    return [F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), F.col("words")).alias("k2")]
-
-
 def cross_split_pairs(rows: DataFrame) -> DataFrame:
     """(row_id_a, row_id_b), the smaller first: all pairs of near-same rows of opposite sides."""
-    members = rows.select("row_id", side(F.col("split")).alias("side"), canonical("input", "output").alias("words")).where("side IS NOT NULL")
-    keyed = members.select("row_id", "side", "words", *_keys())
-    # Only the keys are shuffled to find the classes of several rows; texts stay where they are unless such classes are many.
-    several = cut(keyed.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("row_id").alias("rep"), F.max(F.col("side") == "tuning").alias("tuning"), F.max(F.col("side") == "heldout").alias("heldout")).where("n > 1").drop("n"))
+    sided = rows.select("row_id", side(F.col("split")).alias("side"), "input", "output").where("side IS NOT NULL")
+    # Classes of several rows are found by the hash of their words; texts stay where they are.
+    words = canonical("input", "output")
+    keys = cut(sided.select("row_id", "side", F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(1), words).alias("k2")))
+    several = keys.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("row_id").alias("rep"), F.max(F.col("side") == "tuning").alias("tuning"), F.max(F.col("side") == "heldout").alias("heldout")).where("n > 1").drop("n")
+    members = cut(keys.join(several, ["k1", "k2"]).select("row_id", "side", "rep", "tuning", "heldout"))
     own = lambda name: F.coalesce(F.col(name), F.col("side") == name).alias(name)
-    classes = keyed.join(_bounded(several), ["k1", "k2"], "left").where("rep IS NULL OR rep = row_id").select(F.col("row_id").alias("rep"), own("tuning"), own("heldout"), "words")
-    signed = classes.select("rep", "tuning", "heldout", "words").mapInArrow(_signed, "rep long, tuning boolean, heldout boolean, sketch long, bands array<long>")
+    classes = sided.join(_bounded(members.drop("side")), "row_id", "left").where("rep IS NULL OR rep = row_id").select(F.col("row_id").alias("rep"), own("tuning"), own("heldout"), words.alias("words"))
+    signed = classes.mapInArrow(_signed, "rep long, tuning boolean, heldout boolean, sketch long, bands array<long>")
     placed = signed.select("rep", "tuning", "heldout", "sketch", F.explode("bands").alias("band"))
     t = placed.where("tuning").select("band", F.col("rep").alias("t"), F.col("sketch").alias("st"))
     h = placed.where("heldout").select("band", F.col("rep").alias("h"), F.col("sketch").alias("sh"))
     # A class on both sides is a pair with itself; it needs no verification.
     near = F.bit_count(F.col("st").bitwiseXOR(F.col("sh"))) <= SKETCH_BITS
     candidates = cut(t.join(h, "band").where(near).select("t", "h").distinct())
-    ids = cut(candidates.select(F.explode(F.array("t", "h")).alias("row_id")).distinct())
-    texts = cut(keyed.select("row_id", "words", "k1", "k2").join(_bounded(ids), "row_id"))
-    named = texts.select(F.col("row_id").alias("t"), F.col("words").alias("words_t"))
-    other = texts.select(F.col("row_id").alias("h"), F.col("words").alias("words_h"))
-    apart = candidates.where("t <> h").join(named, "t").join(other, "h").select("t", "h", "words_t", "words_h").mapInArrow(_verified, "t long, h long")
-    pairs = apart.unionByName(candidates.where("t = h"))
-    key = texts.select("row_id", "k1", "k2")
-    found = cut(
-        pairs.join(key.select(F.col("row_id").alias("t"), F.col("k1").alias("t1"), F.col("k2").alias("t2")), "t")
-        .join(key.select(F.col("row_id").alias("h"), F.col("k1").alias("h1"), F.col("k2").alias("h2")), "h")
-        .select("t1", "t2", "h1", "h2")
-    )
-    wanted = cut(found.select(F.explode(F.array(F.struct(F.col("t1").alias("k1"), F.col("t2").alias("k2")), F.struct(F.col("h1").alias("k1"), F.col("h2").alias("k2")))).alias("k")).select("k.*").distinct())
-    inside = cut(keyed.select("row_id", "side", "k1", "k2").join(_bounded(wanted), ["k1", "k2"]))
-    left = inside.where("side = 'tuning'").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("row_id").alias("t"))
-    right = inside.where("side = 'heldout'").select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("row_id").alias("h"))
-    out = found.join(left, ["t1", "t2"]).join(right, ["h1", "h2"])
-    return out.select(F.least("t", "h").alias("row_id_a"), F.greatest("t", "h").alias("row_id_b"))
+    ids = cut(candidates.where("t <> h").select(F.explode(F.array("t", "h")).alias("row_id")).distinct())
+    texts = cut(sided.join(_bounded(ids), "row_id").select("row_id", words.alias("words")))
+    apart = candidates.where("t <> h").join(texts.select(F.col("row_id").alias("t"), F.col("words").alias("words_t")), "t").join(texts.select(F.col("row_id").alias("h"), F.col("words").alias("words_h")), "h")
+    pairs = apart.select("t", "h", "words_t", "words_h").mapInArrow(_verified, "t long, h long").unionByName(candidates.where("t = h"))
+    # A class of one row stands for itself, others for their members of the side.
+    left = members.where("side = 'tuning'").select(F.col("rep").alias("t"), F.col("row_id").alias("mt"))
+    right = members.where("side = 'heldout'").select(F.col("rep").alias("h"), F.col("row_id").alias("mh"))
+    out = pairs.join(left, "t", "left").join(right, "h", "left").select(F.coalesce("mt", "t").alias("a"), F.coalesce("mh", "h").alias("b"))
+    return out.select(F.least("a", "b").alias("row_id_a"), F.greatest("a", "b").alias("row_id_b"))
 
 
 def overlap_counts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
