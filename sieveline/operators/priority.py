@@ -38,3 +38,10 @@ def lowest(rows: DataFrame, ends: DataFrame, groups: list[str], tie: str) -> Dat
     whole = known.where("shard < end_shard")
     edge = known.where("shard = end_shard").withColumn("_at", F.row_number().over(w)).where("_at <= rest").drop("_at")
     return whole.unionByName(edge).drop("shard", "end_shard", "rest", "quota")
+
+
+def first(rows: DataFrame, k: int, tie: str) -> DataFrame:
+    """The ``k`` rows of lowest (priority, ``tie``). Tasks pass on these rows alone, not the first ``k`` of each."""
+    every = rows.withColumn("_all", F.lit(0))
+    quota = rows.sparkSession.range(1).select(F.lit(0).alias("_all"), F.lit(k).cast("long").alias("quota"))
+    return lowest(every, boundaries(shard_counts(every, ["_all"]), quota, ["_all"]), ["_all"], tie).drop("_all")
