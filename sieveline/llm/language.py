@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.operators.priority import priority
+from sieveline.operators.priority import first, priority
 
 #: Labelled texts that the model is fitted on; chosen by hash, equally from each language. Characters used of each.
 TRAINING_TEXTS, TRAINING_CHARS, LEAST_TEXTS = 3000, 2000, 5
@@ -88,7 +88,7 @@ def fit(labelled: list[tuple[str, str]]) -> Languages:
 def train(documents: DataFrame, texts: int = TRAINING_TEXTS) -> Languages:
     """Fit on at most ``texts`` documents, chosen by hash; labels are read without case and region."""
     lang = F.lower(F.regexp_extract("lang", r"^\s*([A-Za-z]{2})(?:[-_].*)?\s*$", 1))
-    kept = documents.where("text IS NOT NULL").select(lang.alias("lang"), F.substring("text", 1, TRAINING_CHARS).alias("text"), priority("language-1", F.col("doc_id")).alias("p")).where("lang <> ''")
-    rows = kept.orderBy("p").limit(texts).collect()
+    kept = documents.where("text IS NOT NULL").select(lang.alias("lang"), "doc_id", F.substring("text", 1, TRAINING_CHARS).alias("text"), priority("language-1", F.col("doc_id")).alias("priority")).where("lang <> ''")
+    rows = sorted(first(kept, texts, "doc_id").collect(), key=lambda r: (r.priority, r.doc_id))
     sizes = Counter(r.lang for r in rows)
     return fit([(r.lang, r.text) for r in rows if sizes[r.lang] >= LEAST_TEXTS])

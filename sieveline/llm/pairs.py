@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm import language
-from sieveline.operators.priority import priority
+from sieveline.operators.priority import first, priority
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -59,7 +59,8 @@ LANGUAGE_STEMS = {
 }
 ASKS = re.compile(r"(answer|reply|replie|respon|write|antwort|schreib|répon|repon|écri|contest|escrib|escrev|odpowie|ответ|答え|回答)[^.!?\n]{0,40}$")
 
-_CLAUSE = re.compile(r"(?<=[.!?;…。！？])\s+|\n+")
+# A line end inside a sentence is white space like any other.
+_CLAUSE = re.compile(r"(?<=[.!?;…。！？])\s+|\n\s*\n|\n(?=```)")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 _WORDS = re.compile(r"\w+")
 _ENDED = re.compile(r"(?:[.!?。！？][\"'”’»)\]]*|```|[”»\")\]])\s*$")
@@ -389,12 +390,16 @@ def trained(answers: list[tuple[str, str]], refusals: list[str], languages: lang
     return fit(examples(kept, refusals, reader))
 
 
+def _in_order(rows: DataFrame) -> list:
+    return sorted(rows.collect(), key=lambda r: (r.priority, r.row_id))
+
+
 def train(rows: DataFrame, kinds: DataFrame, languages: language.Languages) -> Field:
     """Fit the field on a bounded sample of ``rows`` (joined with their project's kind), chosen by hash."""
-    picked = rows.join(kinds, "project_id").select("row_id", "input", "output", "task_kind", priority("pairs-1", F.col("row_id")).alias("p")).where("output IS NOT NULL AND input IS NOT NULL")
-    answers = picked.where("task_kind = 'answer'").orderBy("p").limit(TRAINING_ROWS).collect()
+    picked = rows.join(kinds, "project_id").select("row_id", "input", "output", "task_kind", priority("pairs-1", F.col("row_id")).alias("priority")).where("output IS NOT NULL AND input IS NOT NULL")
+    answers = _in_order(first(picked.where("task_kind = 'answer'"), TRAINING_ROWS, "row_id"))
     prose = picked.where("task_kind IN ('routing', 'extraction')").where(F.col("output").rlike(r"\p{L}+ +\p{L}+ +\p{L}+") & ~F.col("output").rlike(r"^\s*[\{\[\"]"))
-    refused = prose.orderBy("p").limit(REFUSAL_ROWS).collect()
+    refused = _in_order(first(prose, REFUSAL_ROWS, "row_id"))
     return trained([(r.input, r.output) for r in answers], [r.output for r in refused], languages)
 
 
