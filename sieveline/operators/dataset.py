@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import text as X
 from sieveline.functions import vocabulary as V
+from sieveline.session import cut
 
 KEY = "project_id"
 
@@ -89,8 +90,9 @@ def similar_pairs(rows: DataFrame, numerator: int = 7, denominator: int = 10, si
     (class, run). Classes without words are equal, hence one class; a class of fewer words than a run has one run.
     """
     keyed = usable(rows).select(KEY, "row_id", X.normal_text(F.col("input")).alias("t"))
-    classes = keyed.groupBy(KEY, "t").agg(F.min("row_id").alias("c")).where("t <> ''")
-    runs = classes.select(KEY, "c", F.explode(X.shingles(F.split("t", " "), size)).alias("r")).select(KEY, "c", F.xxhash64("r").alias("r"))
+    classes = keyed.groupBy(KEY, "t").agg(F.min("row_id").alias("c"))
+    # Read five times below, and costly to make: written once to the shared folder.
+    runs = cut(classes.select(KEY, "c", F.explode(X.shingles(F.split("t", " "), size)).alias("r")).where("r <> ''").select(KEY, "c", F.xxhash64("r").alias("r")))
     sizes = runs.groupBy("c").agg(F.count("*").alias("n"))
     frequency = runs.groupBy(KEY, "r").agg(F.count("*").alias("f"))
     ranked = runs.join(frequency.where("f > 1"), [KEY, "r"]).join(sizes, "c")
