@@ -35,18 +35,16 @@ def read(spark, path: str) -> DataFrame | None:
 def extend(rows: DataFrame, path: str, step: int, percent: int = PERCENT, seed: str = SEED) -> DataFrame:
     """Add a step to the ledger at ``path`` so that it has ``percent`` of the distinct keys of ``rows``, rounded up; return the ledger."""
     spark = rows.sparkSession
-    keys = rows.select(row_key(F.col("id"), F.col("row_id")).alias("key")).groupBy("key").agg(F.lit(0).alias("all"))
+    keys = rows.select(row_key(F.col("id"), F.col("row_id")).alias("key")).distinct()
     ranked = keys.withColumn("priority", P.priority(seed, F.col("key")))
     ledger = read(spark, path)
-    kept = ledger.count() if ledger is not None else 0
-    unseen = ranked.join(ledger.select("key"), "key", "left_anti") if ledger is not None else ranked
-    counts = P.shard_counts(unseen, ["all"])
-    fresh = counts.groupBy("all").agg(F.sum("n").alias("fresh"))
-    # Every kept key counts towards the quota, also one that no longer occurs.
-    total = F.col("fresh") + (kept if ledger is None else ranked.join(ledger.select("key"), "key", "left_semi").count())
-    quotas = fresh.select("all", F.greatest(F.lit(0), F.ceil(total * percent / 100) - kept).cast("long").alias("quota"))
-    chosen = P.lowest(unseen, P.boundaries(counts, quotas, ["all"]), ["all"], "key")
-    chosen.select("key").write.mode("overwrite").parquet(f"{path}/step={step:04d}")
+    unseen = ranked if ledger is None else ranked.join(ledger.select("key"), "key", "left_anti")
+    kept = 0 if ledger is None else ledger.count()
+    # Kept keys count towards the quota, also those that no longer occur.
+    still = 0 if ledger is None else ranked.join(ledger.select("key"), "key", "left_semi").count()
+    fresh = P.shard_totals(unseen)
+    quota = max(0, -(-(sum(fresh.values()) + still) * percent // 100) - kept)
+    P.below(unseen, fresh, quota, "key").select("key").write.mode("overwrite").parquet(f"{path}/step={step:04d}")
     return read(spark, path)
 
 
