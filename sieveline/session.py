@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -44,14 +44,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package's code, once per application."""
+    """Give the executors this package's code, once per application, by way of the shared folder."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(prefix="sieveline-code-"), "sieveline_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"sieveline/{f.relative_to(root)}")
+    target = f"{shared_dir(spark)}/sieveline/code-{uuid.uuid4().hex}.zip"
+    at = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
