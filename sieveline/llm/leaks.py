@@ -164,11 +164,10 @@ def verbatim(sides: tuple[DataFrame, DataFrame]) -> DataFrame:
 
 
 def changed(sides: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """(doc_id, item_id, windows): windows of a document that have an item's template and pattern but no item's slot values.
+    """(doc_id, item_id, windows): windows of a document that have the item's template and pattern but no item's slot values.
 
-    Items that share a template are named by the smallest of them, so that the result has a row per document and template family.
+    Items that share a template are reported each; an item has a row with every document that has one of its templates.
     """
     mine, theirs = sides
-    other = theirs.join(mine.select("k", "s").distinct(), ["k", "s"], "left_anti")
-    family = mine.groupBy("k").agg(F.min("item_id").alias("item_id"))
-    return other.join(family, "k").groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"))
+    other = theirs.join(mine.select("k", "s").distinct(), ["k", "s"], "left_anti").select("doc_id", "k", "s")
+    return other.join(mine.select("k", "item_id").distinct(), "k").groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"))

@@ -93,6 +93,13 @@ def test_changed_slots_must_be_consistent(spark):
     assert got[5] == 6 and got.get(6, 0) < 6 and 7 not in got
 
 
+def test_changed_names_every_item_of_a_template(spark):
+    left = spark.createDataFrame([(1, "explain why 20 units of glass cost 55 while others cost nothing"), (2, "explain why 40 units of glass cost 80 while others cost nothing at all")], "item_id long, input string")
+    right = spark.createDataFrame([(5, "explain why 31 units of glass cost 60 while others cost nothing at all", None)], DOCUMENTS)
+    got = {(r.doc_id, r.item_id): r.windows for r in leaks.changed(leaks.matched(left, clashing(right))).collect()}
+    assert got == {(5, 1): 3, (5, 2): 5}
+
+
 @pytest.fixture(scope="module")
 def learned(texts):
     return garbled.learned([t for t in texts if t])
