@@ -71,6 +71,7 @@ SECRETS = ("trainee", "auditor", "overnight", "migrated")
 
 
 def disclosure_scan(spark, d):
+    ship(spark)
     digests = spark.createDataFrame([(w,) for w in SECRETS], "w string").select(F.sha2("w", 256).alias("digest"), F.octet_length("w").alias("n_bytes"))
     return disclosure.disclosed(table(spark, d, "run_log"), "log_id", "detail", digests)
 

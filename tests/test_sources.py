@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import scalar, sqlsig
+from sieveline.operators import disclosure
 from sieveline.sources import jsonl, sinks
 
 
@@ -65,3 +66,11 @@ def test_signature_depth_and_totality():
     assert sqlsig.structural_match(None, None) == 0.0 and sqlsig.structural_match(5, 5) == 0.0
     assert sqlsig.structural_match("SELECT a FROM (t)", "SELECT a FROM t") == 1.0
     assert sqlsig.structural_match("SELECT a FROM t UNION SELECT b FROM u INTERSECT SELECT c FROM v", "SELECT a FROM t UNION (SELECT b FROM u INTERSECT SELECT c FROM v)") == 0.0
+
+
+def test_disclosure_reads_case_and_escapes(spark):
+    hidden = ["trainee", "A TraineE.", "tr%61inee", "tr%2561inee", "\\u0074rainee", "\\U00000074rainee", "\\x74rainee", "\\u{74}rainee", "\\164rainee", "&#116;rainee", "&amp;#x74;rainee", "\\N{LATIN SMALL LETTER T}rainee", "\\74 rainee", "\\tra\\inee"]
+    texts = [(i, t) for i, t in enumerate(hidden)] + [(50, None), (51, ""), (52, "train ee \\ud83d %"), (53, "%" + "25" * 9 + "74rainee")]
+    digests = spark.createDataFrame([(hashlib.sha256(b"trainee").hexdigest(), 7)], "digest string, n_bytes int")
+    got = {(r.k, r.digest is None) for r in disclosure.disclosed(spark.createDataFrame(texts, "k long, t string"), "k", "t", digests).collect()}
+    assert got == {(i, False) for i in range(len(hidden))} | {(53, True)}
