@@ -61,6 +61,10 @@ STATEMENTS = {
     "sql_row_constructor": "SELECT n_name FROM {nation} WHERE (n_regionkey, n_nationkey) IN (SELECT r_regionkey, r_regionkey FROM {region})",
     "sql_star_join_revenue": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' GROUP BY n_name",
     "sql_semi_anti_counts": "SELECT count(*) AS n, count_if(o_totalprice > 200000) AS big FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_acctbal < 0)",
+    # The three constructs whose statements above read a slice, over their whole tables.
+    "sql_arithmetic_whole": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_linenumber % 3 AS m FROM {lineitem}",
+    "sql_intersect_all_whole": "SELECT l_quantity AS q FROM {lineitem} WHERE l_returnflag = 'R' INTERSECT ALL SELECT l_quantity FROM {lineitem} WHERE l_returnflag <> 'R'",
+    "sql_order_nulls_whole": "SELECT doc_id, lang FROM {documents} ORDER BY lang DESC NULLS LAST, doc_id",
     "sql_label_counts": "SELECT label, count(*) AS n FROM {embeddings} GROUP BY label",
 }
 

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import scalar, sqlsig
 from sieveline.operators import disclosure
+from sieveline.plans import surface_plans
+from sieveline.session import table
 from sieveline.sources import jsonl, sinks
+from tests.helpers import DATA
 
 
 def test_permissive_scan(spark, tmp_path):
@@ -74,3 +77,15 @@ def test_disclosure_reads_case_and_escapes(spark):
     digests = spark.createDataFrame([(hashlib.sha256(b"trainee").hexdigest(), 7)], "digest string, n_bytes int")
     got = {(r.k, r.digest is None) for r in disclosure.disclosed(spark.createDataFrame(texts, "k long, t string"), "k", "t", digests).collect()}
     assert got == {(i, False) for i in range(len(hidden))} | {(53, True)}
+
+
+def test_whole_tables_of_the_sql_surface(spark, tmp_path):
+    run = lambda name, d=DATA: surface_plans.QUERIES[name](spark, d)
+    n = table(spark, DATA, "lineitem").count()
+    assert run("sql_arithmetic_whole").count() == n
+    r = table(spark, DATA, "lineitem").groupBy("l_quantity").agg(F.count_if(F.col("l_returnflag") == "R").alias("a"), F.count_if(F.col("l_returnflag") != "R").alias("b"))
+    assert run("sql_intersect_all_whole").count() == r.agg(F.sum(F.least("a", "b"))).first()[0]
+    docs = table(spark, DATA, "documents").select("doc_id", F.when(F.col("doc_id") % 50 != 0, F.lit("en")).alias("lang"))
+    docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100_000)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = run("sql_order_nulls_whole", str(tmp_path)).collect()
+    assert len(got) == 2 * docs.count() > 100 and got[-1].lang is None and got[0].lang == "en"
