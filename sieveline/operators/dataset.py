@@ -332,6 +332,49 @@ def check_report(rows: DataFrame) -> DataFrame:
     return out
 
 
+def near_duplicate_counts(rows: DataFrame) -> DataFrame:
+    """(project_id, pairs): pairs of usable rows whose inputs are similar, equal ones included."""
+    base = usable(rows)
+    sizes = base.groupBy(KEY, X.normal_text(F.col("input")).alias("t")).agg(F.min("row_id").alias("c"), F.count("*").alias("m")).where("t <> ''").select(KEY, "c", "m")
+    side = lambda x: sizes.select(F.col("c").alias(f"class_{x}"), F.col("m").alias(f"m_{x}"))
+    across = similar_pairs(rows).join(side("a"), "class_a").join(side("b"), "class_b").select(KEY, F.expr("m_a * m_b").alias("pairs"))
+    within = sizes.select(KEY, F.expr("m * (m - 1) div 2").alias("pairs"))
+    return across.unionByName(within).unionByName(base.select(KEY, F.lit(0).cast("long").alias("pairs"))).groupBy(KEY).agg(F.sum("pairs").alias("pairs"))
+
+
+def check_report_whole(rows: DataFrame) -> DataFrame:
+    """``check_report`` with the other checks of the survey's catalogue.
+
+    As there, size, both vocabularies, outcome field, difficulty and coverage have a row only where they say something, and shape passes only
+    without invalid rows. The ceiling risk is the worse of the outputs' and the outcome field's.
+    """
+    row = lambda df, check, status, count: df.select(KEY, F.lit(check).alias("check"), status.alias("status"), count.cast("long").alias("count"))
+    c = F.col
+    when = lambda bad, status: F.when(bad, status).otherwise("PASS")
+    sides, outcome = split_sizes(rows), outcome_fields(rows)
+    risks = answer_dominance(rows).select(KEY, "status", "m").unionByName(outcome.select(KEY, "status", "m"))
+    severity = F.when(c("status") == "WARN", 2).when(c("status") == "SKIP", 1).otherwise(0)
+    words = lambda df: df.groupBy(KEY).agg(F.count("*").alias("words"))
+    out = check_report(rows).where(c("check") != "dataset-ceiling-risk")
+    for p in (
+        row(risks.groupBy(KEY).agg(F.max(F.struct(severity.alias("v"), "m", "status")).alias("x")), "dataset-ceiling-risk", c("x.status"), c("x.m")),
+        row(label_counts(rows).where("scoreable_rows = 0 OR (without_input = 0 AND unlabelled_rows = 0)"), "dataset-shape", when(c("scoreable_rows") == 0, "FAIL"), c("scoreable_rows")),
+        row(size_gates(rows).where("size_status = 'WARN'"), "dataset-size", c("size_status"), c("n_rows")),
+        row(question_cap(rows), "dataset-first-run-rows", when(c("questions") == 0, "WARN"), c("questions")),
+        row(words(input_types(usable(rows))), "dataset-input-shape", when(c("words") > 1, "FAIL"), c("words")),
+        row(words(unrecognised_words(rows)), "dataset-provenance-vocabulary", F.lit("WARN"), c("words")),
+        row(near_duplicate_counts(rows), "dataset-near-duplicates", when(c("pairs") > 0, "WARN"), c("pairs")),
+        row(outcome.where("status <> 'WARN'"), "dataset-outcome-field", F.lit("PASS"), c("k")),
+        row(words(split_vocabulary(rows)), "dataset-split-vocabulary", F.lit("WARN"), c("words")),
+        row(sides.where("side = 'tuning'"), "dataset-tuning-size", when(c("labelled_rows") < 10, "WARN"), c("n_rows")),
+        row(sides.where("side = 'heldout'"), "dataset-holdout-resolution", when(c("labelled_rows") < 10, "WARN"), c("n_rows")),
+        row(difficulty_coverage(rows).where("difficulty_status <> 'NONE'"), "dataset-difficulty", c("difficulty_status"), c("bands")),
+        row(scenario_coverage(rows).where("status <> 'NONE'"), "dataset-coverage", c("status"), c("scenarios")),
+    ):
+        out = out.unionByName(p)
+    return out
+
+
 def row_count_bounds(rows: DataFrame) -> DataFrame:
     """Checks whose row counts exceed their dataset's candidate rows: none, unless a check is wrong."""
     counted = check_report(rows).where(F.col("check").isin("dataset-integrity", "dataset-duplicates", "dataset-ids", "dataset-provenance", "dataset-difficulty-coverage"))

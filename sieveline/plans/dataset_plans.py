@@ -9,7 +9,7 @@ from sieveline.session import table
 NAMES = (
     "normalized_identity", "token_stats", "duplicate_groups", "duplicate_summary", "similar_classes", "similar_pairs", "split_overlap", "split_sizes", "split_vocabulary", "holdout_resolution",
     "question_cap", "row_bounds", "family_offset", "family_partition", "duplicate_ids", "missing_ids", "id_digests", "provenance_counts", "unrecognised_words", "provenance_points",
-    "label_counts", "placeholder_outputs", "answer_dominance", "distinct_outputs", "outcome_fields", "input_types", "difficulty_coverage", "scenario_coverage", "size_gates", "check_report", "row_count_bounds",
+    "label_counts", "placeholder_outputs", "answer_dominance", "distinct_outputs", "outcome_fields", "input_types", "difficulty_coverage", "scenario_coverage", "size_gates", "check_report", "check_report_whole", "row_count_bounds",
 )
 
 

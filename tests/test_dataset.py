@@ -81,3 +81,17 @@ def test_folding(spark):
     from sieveline.functions import text as X
 
     assert df.select(X.words(F.col("input")).alias("w")).first().w == re.findall(r"\w+", "Straße ΣΊΣΥΦΟΣ, Größe_1".casefold())
+
+
+def test_whole_report_has_every_check(spark):
+    text = "the quick brown fox jumps over the lazy dog near the river bank"
+    bad = [{"input": text + end, "output": '{"label": "%s"}' % k, "split": split, "source": "synthetic", "difficulty": "easy", "id": f"a{k}"} for k, (end, split) in enumerate([("", "train"), ("", "train"), (" today", "test"), (" x", "odd")])]
+    bad += [{"input": "[1, 2]", "output": '{"label": "z"}', "split": "train", "source": "synthetic", "difficulty": "easy", "id": "b"}, {"input": "q", "output": '{"label": "y"}', "source": "zzz", "difficulty": "easy", "id": "c"}]
+    got = {r.check: (r.status, r["count"]) for r in D.check_report_whole(rows(spark, *bad)).collect()}
+    # Of the 11 runs of the equal rows the two longer ones have all and one more each: six pairs in four rows.
+    wanted = {"dataset-near-duplicates": ("WARN", 6), "dataset-shape": ("PASS", 6), "dataset-size": ("WARN", 6), "dataset-first-run-rows": ("PASS", 2), "dataset-input-shape": ("FAIL", 2), "dataset-provenance-vocabulary": ("WARN", 1), "dataset-outcome-field": ("PASS", 6)}
+    wanted |= {"dataset-split-vocabulary": ("WARN", 1), "dataset-tuning-size": ("WARN", 3), "dataset-holdout-resolution": ("WARN", 1), "dataset-difficulty": ("WARN", 1)}
+    assert {k: got.get(k) for k in wanted} == wanted
+    made = D.check_report_whole(rows(spark, *({"input": f"q{k}", "output": "x", "source": "synthetic"} for k in range(3)))).collect()
+    assert [(r.status, r["count"]) for r in made if r.check == "dataset-coverage"] == [("WARN", 0)]
+    assert D.check_report_whole(rows(spark).limit(0)).collect() == []
