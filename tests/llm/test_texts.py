@@ -124,6 +124,24 @@ def test_garbled_texts_are_restored(learned, texts):
     assert tried > 300 and found > 0.97 * tried and whole > 0.9 * tried, (tried, found, whole)
 
 
+def test_twice_garbled_texts_are_restored(learned, texts):
+    judge = garbled.Judge(learned[0])
+    clean = [t[:600] for t in texts if t and not t.isascii() and not garbled.suspicious(t) and judge.judge(t)[0] < learned[1]]
+    for steps in ((("latin-1", "utf-8"), ("cp1252", "utf-8")), (("cp437", "cp1250"), ("mac-roman", "utf-8"))):
+        tried = whole = 0
+        for t in clean[:60]:
+            bad = t
+            try:
+                for read, written in steps:
+                    bad = bad.encode(written).decode(read)
+            except UnicodeError:
+                continue
+            _, _, restored = judge.judge(bad)
+            tried += 1
+            whole += garbled._TOKEN.sub(lambda m: restored.get(m[0], m[0]), bad) == t
+        assert tried > 5 and whole > 0.7 * tried, (steps, tried, whole)
+
+
 def test_garbled_rows(spark, texts):
     base = [t for t in texts if t and not garbled.suspicious(t)][:400]
     odd = [(1001, None), (1002, ""), (1003, "plain"), (1004, "caf&eacute; %C3%A9 \\u00e9"), (1005, "jusqu\ufffd mardi"), (1006, "M\u00c3\u00bcller, pr\u00c3\u00bcfen f\u00c3\u00bcr"), (1007, "M\u00c3\u00bcller, pr\u00c3\u00bcfen f\u00c3\u00bcr")]
