@@ -142,6 +142,12 @@ def test_twice_garbled_texts_are_restored(learned, texts):
         assert tried > 5 and whole > 0.7 * tried, (steps, tried, whole)
 
 
+def test_margin_is_validated_on_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(garbled, "learned", lambda texts: texts)
+    text = "a few words " * garbled.TRAINING_CHARS
+    assert garbled.train(spark.createDataFrame([(1, text, None), (2, " ", None)], DOCUMENTS)) == [text]
+
+
 def test_garbled_rows(spark, texts):
     base = [t for t in texts if t and not garbled.suspicious(t)][:400]
     odd = [(1001, None), (1002, ""), (1003, "plain"), (1004, "caf&eacute; %C3%A9 \\u00e9"), (1005, "jusqu\ufffd mardi"), (1006, "M\u00c3\u00bcller, pr\u00c3\u00bcfen f\u00c3\u00bcr"), (1007, "M\u00c3\u00bcller, pr\u00c3\u00bcfen f\u00c3\u00bcr")]
