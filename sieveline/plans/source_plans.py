@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sieveline.functions import scalar
@@ -12,12 +10,12 @@ from sieveline.plans.experiment_plans import SQL as EXPERIMENTS
 from sieveline.plans.dataset_plans import strip
 from sieveline.sources import jsonl, sinks
 from sieveline.streaming import runlog_state
-from sieveline.session import shared_dir, ship, table
+from sieveline.session import scratch, ship, table
 
 
 def _lines(spark, d) -> str:
     """The labelled rows as JSON lines; rows without a split are written cut off, those without a difficulty as arrays."""
-    path = f"{shared_dir(spark)}/sieveline/lines-{uuid.uuid4().hex}"
+    path = scratch(spark, "lines")
     row = F.to_json(F.struct("row_id", "id", "input", "output", F.struct("split", "difficulty").alias("tags")))
     r = table(spark, d, "evaluation_rows")
     r.select(F.when(F.col("split").isNull(), F.lit('{"row_id": 1, "input": ')).when(F.col("difficulty").isNull(), F.concat(F.lit("["), row, F.lit("]"))).otherwise(row).alias("value")).write.text(path)
@@ -41,7 +39,7 @@ def file_fingerprint(spark, d):
 
 def transfer_record(spark, d):
     """Write the best configurations, read them back and verify them."""
-    path = f"{shared_dir(spark)}/sieveline/transfer-{uuid.uuid4().hex}"
+    path = scratch(spark, "transfer")
     sinks.write_transfer(experiments.best_config(table(spark, d, "trials"), table(spark, d, "trial_scores")), path)
     return sinks.read_transfer(spark, path)
 

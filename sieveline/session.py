@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SCRATCH: set[str] = set()
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -19,17 +20,41 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one; a cluster has none to give."""
+    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        configured = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="sieveline-")
+        current = sc._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            configured = current.get()
+        elif sc.master.startswith("local[") or sc.master == "local":
+            configured = "file://" + tempfile.mkdtemp(prefix="sieveline-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", configured)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(configured)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(configured)
+        _removed_at_exit(spark, sc._jsc.sc().getCheckpointDir().get())
     return configured
 
 
+def _removed_at_exit(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what is written there goes when the driver ends."""
+    sc = spark.sparkContext
+    mine = f"{shared_dir(spark)}/sieveline/{sc.applicationId}"
+    if mine not in _SCRATCH:
+        at = sc._jvm.org.apache.hadoop.fs.Path(mine)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).mkdirs(at)
+        _removed_at_exit(spark, mine)
+        _SCRATCH.add(mine)
+    return f"{mine}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget its lineage; survives the loss of executors."""
     shared_dir(df.sparkSession)
@@ -38,7 +63,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/sieveline/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -53,7 +78,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"sieveline/{f.relative_to(root)}")
-    target = f"{shared_dir(spark)}/sieveline/code-{uuid.uuid4().hex}.zip"
+    target = scratch(spark, "code") + ".zip"
     at = sc._jvm.org.apache.hadoop.fs.Path(target)
     out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at)
     out.write(bytearray(packed.getvalue()))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.operators.runlog import FIELDS, well_formed
-from sieveline.session import shared_dir
+from sieveline.session import scratch
 
 KEYS = ("trial_id", "event_name", "stage", "event_class")
 
@@ -37,7 +36,7 @@ def stream(lines: DataFrame) -> DataFrame:
 def run_once(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """Read what is at ``path`` as a stream until it ends; the flagged lines as a table in the shared folder."""
     schema = spark.read.parquet(path).schema
-    out = f"{shared_dir(spark)}/sieveline/stream-{uuid.uuid4().hex}"
+    out = scratch(spark, "stream")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
