@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sieveline.llm import formatting, groups, ledger, overlap, pairs, quota
-from sieveline.session import shared_dir, ship, table
+from sieveline.session import scratch, ship, table
 
 
 def _rows(spark, d):
@@ -27,7 +25,7 @@ def p2_counts(spark, d):
 def p3_sample(spark, d):
     """Two steps of one ledger: after the first half of the loads and after all of them."""
     rows = _rows(spark, d)
-    path = f"{shared_dir(spark)}/sieveline/ledger-{uuid.uuid4().hex}"
+    path = scratch(spark, "ledger")
     half = table(spark, d, "loads").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY load_id)")).first()[0]
     ledger.extend(rows.where(F.col("load_id") <= F.lit(half)), path, 1)
     return ledger.sample(rows, ledger.extend(rows, path, 2))

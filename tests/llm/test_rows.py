@@ -60,12 +60,30 @@ def test_ledger_is_stable_and_grows(spark, tmp_path):
     assert first <= {r.key for r in b.collect()} and b.count() == math.ceil(len(keys) * 0.1)
     again = ledger.extend(df, str(tmp_path / "a"), 3)
     assert again.count() == b.count()
+    # Rerun under the same number, with any rows: each step gives what it gave.
+    for step, kept in ((1, first), (2, {r.key for r in b.collect()}), (3, {r.key for r in again.collect()}), (1, first)):
+        assert {r.key for r in ledger.extend(df if step == 1 else df.where("row_id > 90"), str(tmp_path / "a"), step).collect()} == kept
+    with pytest.raises(ValueError):
+        ledger.extend(df, str(tmp_path / "a"), 0)
     assert ledger.extend(df.where("row_id <= 80").repartition(5), str(tmp_path / "c"), 1).count() == len(first)
     assert ledger.extend(df.limit(0), str(tmp_path / "e"), 1).collect() == []
     chosen = {(r.row_id, r.step) for r in ledger.sample(df, b).collect()}
     assert {i for i, _ in chosen} == {i for i, g in enumerate(given, 1) if ledger_key(g, i) in {r.key for r in b.collect()}}
 
 
+def test_ledger_after_a_write_that_broke_off(spark, tmp_path):
+    df = rows(spark, *({"id": f"k{k}"} for k in range(40)))
+    path = tmp_path / "l"
+    (path / "_draft-1").mkdir(parents=True)
+    (path / "_draft-1" / "part-0.parquet").write_bytes(b"broken")
+    first = {r.key for r in ledger.extend(df, str(path), 1).collect()}
+    assert len(first) == 4
+    # Another run that puts the same step in place first wins.
+    book = ledger.Ledger(spark, str(path))
+    book.add(spark.createDataFrame([("id:other",)], "key string"), 1)
+    assert {r.key for r in book.read(1).collect()} == first and not [p for p in path.iterdir() if p.name.startswith("_draft") and p.name != "_draft-1"]
+
+
 def ledger_key(g, i):
     t = (g["id"] or "").strip()
     return f"id:{t}" if t else f"row:{i}"
