@@ -26,8 +26,10 @@ from sieveline.llm.overlap import _mix
 from sieveline.session import cut
 
 WINDOW = 10
-#: Templates of items, and names, that are sent to the tasks as a filter; more than that are joined by shuffle alone.
-FILTERED, NAMES = 500_000, 100_000
+#: Templates of items that are sent to the tasks as a filter; more than that are joined by shuffle alone.
+FILTERED = 500_000
+#: Names, and their bytes, that are sent to the tasks; more are joined with the words of each text, with the same result.
+NAMES, NAMES_BYTES = 100_000, 4_000_000
 CACHED_WORDS = 500_000
 WORD = re.compile(r"\w+")
 # Units of money, time and measure.
@@ -49,12 +51,13 @@ def _h(text: str) -> int:
 class Windows:
     """Hashes of the words and templates of texts; words are kept between batches."""
 
-    def __init__(self, names: frozenset[str]):
+    def __init__(self, names: frozenset[str] | None):
+        """``names`` holds for all texts; without it each text comes with its own."""
         self.names, self.known = names, {}
 
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, text: str, own: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per word its hash, the hash of what its template shows, and whether it is a slot."""
-        known = self.known
+        known, names = (self.known, self.names) if self.names is not None else ({}, own)
         if len(known) > CACHED_WORDS:
             known.clear()
         rows = []
@@ -62,7 +65,7 @@ class Windows:
             got = known.get(w)
             if got is None:
                 low = w.lower()
-                kind = placeholder(low, self.names)
+                kind = placeholder(low, names)
                 got = known[w] = (_h(low), _h(kind or low), kind is not None)
             rows.append(got)
         if not rows:
@@ -78,12 +81,12 @@ class Windows:
             out = _mix(out * _GOLDEN + h[k : k + n])
         return out
 
-    def of(self, text: str, wanted: np.ndarray | None) -> list[tuple[int, int, int]]:
+    def of(self, text: str, wanted: np.ndarray | None, own: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
         """(key, slots, start) of the windows whose template is among the sorted ``wanted`` ones (all, if None).
 
         ``key`` hashes template and pattern, ``slots`` the slot values.
         """
-        exact, shown, slot = self.words(text)
+        exact, shown, slot = self.words(text, own)
         template = self.rolled(shown)
         if not len(template):
             return []
@@ -103,20 +106,38 @@ class Windows:
         return out
 
 
-def names(items: DataFrame) -> frozenset[str]:
-    """Names by the items' own spelling; empty beyond NAMES, as templates then keep their names."""
+def names(items: DataFrame) -> DataFrame:
+    """(name): names by the items' own spelling."""
     text = F.coalesce(F.col("input"), F.lit(""))
     seen = items.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![.!?:]\s{1,3}|^)(?<![\p{L}\p{N}_])(\p{L}+)(?![\p{L}\p{N}_])"), 1)).alias("w"))
-    judged = seen.groupBy(F.lower("w").alias("low")).agg(F.count_if(F.col("w").rlike(r"^\p{Lu}\p{Ll}")).alias("big"), F.count("*").alias("n")).where("big = n")
-    rows = judged.limit(NAMES + 1).collect()
-    return frozenset(r.low for r in rows) if len(rows) <= NAMES else frozenset()
+    judged = seen.groupBy(F.lower("w").alias("name")).agg(F.count_if(F.col("w").rlike(r"^\p{Lu}\p{Ll}")).alias("big"), F.count("*").alias("n"))
+    return judged.where("big = n").select("name")
+
+
+def with_names(df: DataFrame, key: str, text: str, known: DataFrame | None) -> DataFrame:
+    """(key, text, own): each text with the names among its words, found by a join; ``own`` is null where all texts share one set.
+
+    Words leave a text once each, so what is gathered again is bounded by the text; equal keys share their names, as they share nothing else.
+    """
+    only = df.select(key, text)
+    if known is None:
+        return only.withColumn("own", F.lit(None).cast("array<string>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted({w.lower() for w in WORD.findall(t or "")}) for t in batch.column(1).to_pylist()]
+            at = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([w for f in found for w in f], pa.string())], names=[key, "name"])
+
+    mine = only.mapInArrow(run, f"{key} long, name string").join(known, "name").groupBy(key).agg(F.collect_set("name").alias("own"))
+    return only.join(mine, key, "left").select(key, text, F.coalesce("own", F.array().cast("array<string>")).alias("own"))
 
 
 def _signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
 
-def _windows(df: DataFrame, key: str, text: str, known, wanted) -> DataFrame:
+def _windows(named: DataFrame, key: str, text: str, known, wanted) -> DataFrame:
     """(key column, k, s, at) of the windows of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +145,8 @@ def _windows(df: DataFrame, key: str, text: str, known, wanted) -> DataFrame:
         only = wanted.value if wanted is not None else None
         for batch in batches:
             ids, ks, ss, at = [], [], [], []
-            for i, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist()):
-                found = maker.of(t or "", only)
+            for i, t, own in zip(*(batch.column(c).to_pylist() for c in (key, text, "own"))):
+                found = maker.of(t or "", only, frozenset(own or ()))
                 ids += [i] * len(found)
                 for a, b, c in found:
                     ks.append(a)
@@ -133,28 +154,33 @@ def _windows(df: DataFrame, key: str, text: str, known, wanted) -> DataFrame:
                     at.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _signed(ks), _signed(ss), pa.array(at, pa.int32())], names=[key, "k", "s", "at"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} long, k long, s long, at int")
+    return named.mapInArrow(run, f"{key} long, k long, s long, at int")
 
 
-def _templates(items: DataFrame, known) -> DataFrame:
+def _templates(named: DataFrame, known) -> DataFrame:
     """(t): distinct templates of the items' windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Windows(known.value)
         for batch in batches:
-            all_of = [maker.rolled(maker.words(t or "")[1]) for t in batch.column("input").to_pylist()]
+            all_of = [maker.rolled(maker.words(t or "", frozenset(own or ()))[1]) for t, own in zip(batch.column("input").to_pylist(), batch.column("own").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(all_of) if all_of else np.empty(0, np.uint64)).view(np.int64))], names=["t"])
 
-    return items.select("input").mapInArrow(run, "t long").distinct()
+    return named.mapInArrow(run, "t long").distinct()
 
 
 def matched(items: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Windows of items (item_id, k, s, at), and the windows of documents (doc_id, k, s, at) whose template an item has."""
     sc = items.sparkSession.sparkContext
-    known = sc.broadcast(names(items))
-    found = _templates(items, known).limit(FILTERED + 1).toPandas()["t"].to_numpy(np.int64)
+    listed = cut(names(items))
+    size = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("name")), F.lit(0)).alias("bytes")).first()
+    few = size.n <= NAMES and size.bytes <= NAMES_BYTES
+    known = sc.broadcast(frozenset(r.name for r in listed.collect()) if few else None)
+    mine = with_names(items, "item_id", "input", None if few else listed)
+    theirs = with_names(documents, "doc_id", "text", None if few else listed)
+    found = _templates(mine, known).limit(FILTERED + 1).toPandas()["t"].to_numpy(np.int64)
     wanted = sc.broadcast(np.sort(found.view(np.uint64))) if len(found) <= FILTERED else None
-    return cut(_windows(items, "item_id", "input", known, None)), cut(_windows(documents, "doc_id", "text", known, wanted).dropDuplicates(["doc_id", "k", "s"]))
+    return cut(_windows(mine, "item_id", "input", known, None)), cut(_windows(theirs, "doc_id", "text", known, wanted).dropDuplicates(["doc_id", "k", "s"]))
 
 
 def verbatim(sides: tuple[DataFrame, DataFrame]) -> DataFrame:

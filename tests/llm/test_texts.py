@@ -100,6 +100,18 @@ def test_changed_names_every_item_of_a_template(spark):
     assert got == {(5, 1): 3, (5, 2): 5}
 
 
+def test_names_beyond_what_is_sent(spark, monkeypatch):
+    item = "Ask whether old Ruvo paid for seven seats and why young Telka never paid for any of them"
+    left = spark.createDataFrame([(1, item), (2, None), (3, "too short")], "item_id long, input string")
+    other = item.replace("Ruvo", "Telka").replace("young Telka", "young Ruvo")
+    right = spark.createDataFrame([(5, other, None), (6, item, None), (7, None, None), (8, "nothing of it " * 20, None)], DOCUMENTS)
+    run = lambda: (sorted(map(tuple, leaks.changed(leaks.matched(left, clashing(right))).collect())), sorted(map(tuple, leaks.verbatim(leaks.matched(left, right)).collect())))
+    few = run()
+    assert [r[:2] for r in few[0]] == [(5, 1)] and few[1] == [(1, 6)]
+    monkeypatch.setattr(leaks, "NAMES", 0)
+    assert run() == few
+
+
 @pytest.fixture(scope="module")
 def learned(texts):
     return garbled.learned([t for t in texts if t])
