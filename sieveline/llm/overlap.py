@@ -13,6 +13,7 @@ their pairs; very long texts are taken whole; an empty table gives no pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import side
+from sieveline.llm.filters import Bits
 from sieveline.session import cut
 
 SIZE, BANDS, ROWS_PER_BAND = 3, 24, 4
 NUMERATOR, DENOMINATOR = 7, 10
 #: Differing sketch bits that are still compared: 64 fair bits of which a share of (1 - J) / 2 differs.
 SKETCH_BITS = 21
-#: Rows of a side that may be broadcast; checked before each join, beyond it the join shuffles.
-BROADCAST_ROWS = 400_000
 CACHED_WORDS = 500_000
 
 _rng = np.random.default_rng(20240607)
@@ -101,9 +101,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         offsets = pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BANDS)
         taken = batch.take(pa.array(keep))
+        sides = taken.column("tuning").to_numpy(zero_copy_only=False).astype(np.int32) + 2 * taken.column("heldout").to_numpy(zero_copy_only=False).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [taken.column("rep"), taken.column("tuning"), taken.column("heldout"), pa.array(sketch.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))],
-            names=["rep", "tuning", "heldout", "sketch", "bands"],
+            [taken.column("rep"), pa.array(sides), pa.array(sketch.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))], names=["rep", "sides", "sketch", "bands"]
         )
 
 
@@ -122,32 +122,49 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(ok, pa.bool_())).select(["t", "h"])
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if it has at most BROADCAST_ROWS rows; ``df`` is materialised already."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+class Classes(NamedTuple):
+    """What is known of the rows with the same words."""
 
+    pairs: DataFrame  #: (t, h): representatives of near-same classes, t with rows on the tuning side, h on the held-out side
+    members: DataFrame  #: (row_id, side, rep): the rows of classes of several
 
-def cross_split_pairs(rows: DataFrame) -> DataFrame:
-    """(row_id_a, row_id_b), the smaller first: all pairs of near-same rows of opposite sides."""
+
+def near_classes(rows: DataFrame) -> Classes:
+    """The near-same classes of opposite sides.
+
+    Texts stay where they are but for those of repeated rows, one for each class and task, and of rows with a candidate. Which rows these are is
+    told by a filter of fixed size; what it lets pass by chance is sorted out by the join or aggregation behind it.
+    """
     sided = rows.select("row_id", side(F.col("split")).alias("side"), "input", "output").where("side IS NOT NULL")
-    # Classes of several rows are found by the hash of their words; texts stay where they are.
     words = canonical("input", "output")
+    tuning, heldout = F.max(F.col("side") == "tuning").alias("tuning"), F.max(F.col("side") == "heldout").alias("heldout")
     keys = cut(sided.select("row_id", "side", F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(1), words).alias("k2")))
-    several = keys.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("row_id").alias("rep"), F.max(F.col("side") == "tuning").alias("tuning"), F.max(F.col("side") == "heldout").alias("heldout")).where("n > 1").drop("n")
-    members = cut(keys.join(several, ["k1", "k2"]).select("row_id", "side", "rep", "tuning", "heldout"))
-    own = lambda name: F.coalesce(F.col(name), F.col("side") == name).alias(name)
-    classes = sided.join(_bounded(members.drop("side")), "row_id", "left").where("rep IS NULL OR rep = row_id").select(F.col("row_id").alias("rep"), own("tuning"), own("heldout"), words.alias("words"))
-    signed = classes.mapInArrow(_signed, "rep long, tuning boolean, heldout boolean, sketch long, bands array<long>")
-    placed = signed.select("rep", "tuning", "heldout", "sketch", F.explode("bands").alias("band"))
-    t = placed.where("tuning").select("band", F.col("rep").alias("t"), F.col("sketch").alias("st"))
-    h = placed.where("heldout").select("band", F.col("rep").alias("h"), F.col("sketch").alias("sh"))
-    # A class on both sides is a pair with itself; it needs no verification.
+    several = keys.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("row_id").alias("rep")).where("n > 1").drop("n")
+    members = cut(keys.join(several, ["k1", "k2"]).select("row_id", "side", "rep"))
+    marked = Bits(members, "row_id").marked(sided, "row_id", "again")
+    single = marked.where("NOT again").select(F.col("row_id").alias("rep"), (F.col("side") == "tuning").alias("tuning"), (F.col("side") == "heldout").alias("heldout"), words.alias("words"))
+    again = marked.where("again").select("row_id", "side", words.alias("words")).withColumn("k1", F.xxhash64("words")).withColumn("k2", F.xxhash64(F.lit(1), "words"))
+    merged = again.groupBy("k1", "k2").agg(F.min("row_id").alias("rep"), tuning, heldout, F.first("words").alias("words")).drop("k1", "k2")
+    signed = single.unionByName(merged).mapInArrow(_signed, "rep long, sides int, sketch long, bands array<long>")
+    # One shuffle of the bands serves both sides of the join: the sides are told apart behind it.
+    placed = signed.select("rep", "sides", "sketch", F.explode("bands").alias("band")).repartition("band")
+    sides = placed.select("band", "rep", "sketch", F.explode(F.filter(F.array(F.lit(1), F.lit(2)), lambda s: F.col("sides").bitwiseAND(s) > 0)).alias("one"))
+    t = sides.where("one = 1").select("band", F.col("rep").alias("t"), F.col("sketch").alias("st"))
+    h = sides.where("one = 2").select("band", F.col("rep").alias("h"), F.col("sketch").alias("sh"))
     near = F.bit_count(F.col("st").bitwiseXOR(F.col("sh"))) <= SKETCH_BITS
+    # A class on both sides is a pair with itself; it needs no verification.
     candidates = cut(t.join(h, "band").where(near).select("t", "h").distinct())
-    ids = cut(candidates.where("t <> h").select(F.explode(F.array("t", "h")).alias("row_id")).distinct())
-    texts = cut(sided.join(_bounded(ids), "row_id").select("row_id", words.alias("words")))
-    apart = candidates.where("t <> h").join(texts.select(F.col("row_id").alias("t"), F.col("words").alias("words_t")), "t").join(texts.select(F.col("row_id").alias("h"), F.col("words").alias("words_h")), "h")
-    pairs = apart.select("t", "h", "words_t", "words_h").mapInArrow(_verified, "t long, h long").unionByName(candidates.where("t = h"))
+    apart = candidates.where("t <> h")
+    ids = cut(apart.select(F.explode(F.array("t", "h")).alias("row_id")).distinct())
+    close = Bits(ids, "row_id").marked(sided, "row_id", "asked").where("asked").select("row_id", words.alias("words"))
+    texts = cut(close.join(ids, "row_id", "left_semi"))
+    compared = apart.join(texts.select(F.col("row_id").alias("t"), F.col("words").alias("words_t")), "t").join(texts.select(F.col("row_id").alias("h"), F.col("words").alias("words_h")), "h")
+    return Classes(compared.select("t", "h", "words_t", "words_h").mapInArrow(_verified, "t long, h long").unionByName(candidates.where("t = h")), members)
+
+
+def cross_split_pairs(rows: DataFrame) -> DataFrame:
+    """(row_id_a, row_id_b), the smaller first: all pairs of near-same rows of opposite sides."""
+    pairs, members = near_classes(rows)
     # A class of one row stands for itself, others for their members of the side.
     left = members.where("side = 'tuning'").select(F.col("rep").alias("t"), F.col("row_id").alias("mt"))
     right = members.where("side = 'heldout'").select(F.col("rep").alias("h"), F.col("row_id").alias("mh"))
@@ -155,7 +172,18 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
     return out.select(F.least("a", "b").alias("row_id_a"), F.greatest("a", "b").alias("row_id_b"))
 
 
-def overlap_counts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per side, split and source: rows with a partner on the other side, and their pairs."""
-    ends = pairs.select(F.explode(F.array("row_id_a", "row_id_b")).alias("row_id")).groupBy("row_id").agg(F.count("*").alias("n"))
-    return rows.select("row_id", side(F.col("split")).alias("side"), "split", "source").join(ends, "row_id").groupBy("side", "split", "source").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_pairs"))
+def overlap_counts(rows: DataFrame) -> DataFrame:
+    """Per side, split and source: rows with a partner on the other side, and their pairs; counted by class sizes, without making the pairs of rows."""
+    pairs, members = near_classes(rows)
+    pairs = cut(pairs)
+    size = members.groupBy("rep", "side").agg(F.count("*").alias("size"))
+
+    def partners(mine: str, other: str, name: str, across: str) -> DataFrame:
+        """(rep, side, n): of a class on one side, its rows' partners on the other."""
+        sized = pairs.join(size.where(F.col("side") == across).select(F.col("rep").alias(other), "size"), other, "left")
+        return sized.groupBy(F.col(mine).alias("rep")).agg(F.sum(F.coalesce("size", F.lit(1))).alias("n")).withColumn("side", F.lit(name))
+
+    n = cut(partners("t", "h", "tuning", "heldout").unionByName(partners("h", "t", "heldout", "tuning")))
+    many = members.join(n, ["rep", "side"]).select("row_id", "n")
+    alone = n.join(members.select("rep").distinct(), "rep", "left_anti").select(F.col("rep").alias("row_id"), "n")
+    return rows.select("row_id", side(F.col("split")).alias("side"), "split", "source").join(many.unionByName(alone), "row_id").groupBy("side", "split", "source").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_pairs"))

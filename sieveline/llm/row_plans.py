@@ -18,8 +18,7 @@ def p2_found(spark, d):
 
 
 def p2_counts(spark, d):
-    rows = _rows(spark, d)
-    return overlap.overlap_counts(rows, overlap.cross_split_pairs(rows))
+    return overlap.overlap_counts(_rows(spark, d))
 
 
 def p3_sample(spark, d):

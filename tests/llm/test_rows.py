@@ -7,8 +7,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from sieveline.llm import formatting, groups, ledger, overlap, quota, row_plans
+from sieveline.llm import filters, formatting, groups, ledger, overlap, quota, row_plans
 from tests.helpers import DATA, clashing, rows, same_as_sql
 
 
@@ -42,11 +43,23 @@ def test_overlap_against_all_pairs(spark):
     assert overlap.cross_split_pairs(df.limit(0)).collect() == []
 
 
-def test_overlap_beyond_what_is_broadcast(spark, monkeypatch):
-    df = rows(spark, *({"input": f"row {k} has these few words in it", "output": "and ends", "split": s} for k in range(5) for s in ("train", "test")))
-    expected = sorted(map(tuple, overlap.cross_split_pairs(df).collect()))
-    monkeypatch.setattr(overlap, "BROADCAST_ROWS", 0)
-    assert sorted(map(tuple, overlap.cross_split_pairs(df).collect())) == expected and len(expected) == 5
+def test_overlap_with_a_filter_that_lets_all_pass(spark, monkeypatch):
+    given = [{"input": f"row {k} has these few words in it", "output": "and ends", "split": s} for k in range(5) for s in ("train", "test")]
+    df = rows(spark, *given, *({"input": "a text that many rows have as it is", "output": "", "split": s} for s in ("train", "test", None) for _ in range(4)))
+    pairs = lambda: sorted(map(tuple, overlap.cross_split_pairs(df).collect()))
+    counts = lambda: sorted(map(tuple, overlap.overlap_counts(clashing(df)).collect()))
+    expected, counted = pairs(), counts()
+    assert len(expected) == 5 + 16 and counted == [("heldout", "test", None, 9, 21), ("tuning", "train", None, 9, 21)]
+    monkeypatch.setattr(filters.Bits, "_place", lambda self, key: F.lit(0).cast("long"))
+    assert pairs() == expected and counts() == counted
+
+
+def test_filter_keeps_every_key(spark):
+    keys = spark.range(0, 30_000, 7)
+    bits = filters.Bits(keys, "id")
+    marked = bits.marked(spark.range(60_000).union(spark.sql("SELECT CAST(NULL AS LONG)")), "id", "m").groupBy(F.expr("id % 7 = 0 AND id < 30000").alias("there"), "m").count()
+    n = {(r.there, r.m): r["count"] for r in marked.collect()}
+    assert n[True, True] == 4286 and (True, False) not in n and n.get((False, True), 0) < 0.06 * 60_000 and n[None, False] == 1
 
 
 def test_ledger_is_stable_and_grows(spark, tmp_path):
