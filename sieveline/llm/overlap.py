@@ -96,7 +96,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = np.full(len(keep), b + 1, np.uint64)
             for r in range(ROWS_PER_BAND):
                 v = _mix(v * np.uint64(0x9E3779B97F4A7C15) + low[:, b * ROWS_PER_BAND + r])
-            bands[:, b] = v
+            # 48 bits tell bands apart and leave less to shuffle.
+            bands[:, b] = v >> np.uint64(16)
         bits = _mix(low[:, :64].astype(np.uint64) + np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(1)
         sketch = (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         offsets = pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BANDS)
@@ -140,7 +141,8 @@ def near_classes(rows: DataFrame) -> Classes:
     tuning, heldout = F.max(F.col("side") == "tuning").alias("tuning"), F.max(F.col("side") == "heldout").alias("heldout")
     keys = cut(sided.select("row_id", "side", F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(1), words).alias("k2")))
     several = keys.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("row_id").alias("rep")).where("n > 1").drop("n")
-    members = cut(keys.join(several, ["k1", "k2"]).select("row_id", "side", "rep"))
+    several = cut(several)
+    members = cut(Bits(several, "k1").marked(keys, "k1", "again").where("again").join(several, ["k1", "k2"]).select("row_id", "side", "rep"))
     marked = Bits(members, "row_id").marked(sided, "row_id", "again")
     single = marked.where("NOT again").select(F.col("row_id").alias("rep"), (F.col("side") == "tuning").alias("tuning"), (F.col("side") == "heldout").alias("heldout"), words.alias("words"))
     again = marked.where("again").select("row_id", "side", words.alias("words")).withColumn("k1", F.xxhash64("words")).withColumn("k2", F.xxhash64(F.lit(1), "words"))
@@ -156,8 +158,8 @@ def near_classes(rows: DataFrame) -> Classes:
     candidates = cut(t.join(h, "band").where(near).select("t", "h").distinct())
     apart = candidates.where("t <> h")
     ids = cut(apart.select(F.explode(F.array("t", "h")).alias("row_id")).distinct())
-    close = Bits(ids, "row_id").marked(sided, "row_id", "asked").where("asked").select("row_id", words.alias("words"))
-    texts = cut(close.join(ids, "row_id", "left_semi"))
+    # Texts that pass by chance meet no candidate below.
+    texts = cut(Bits(ids, "row_id").marked(sided, "row_id", "asked").where("asked").select("row_id", words.alias("words")))
     compared = apart.join(texts.select(F.col("row_id").alias("t"), F.col("words").alias("words_t")), "t").join(texts.select(F.col("row_id").alias("h"), F.col("words").alias("words_h")), "h")
     return Classes(compared.select("t", "h", "words_t", "words_h").mapInArrow(_verified, "t long, h long").unionByName(candidates.where("t = h")), members)
 
