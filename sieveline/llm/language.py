@@ -1,7 +1,8 @@
 """Languages of texts by the letter trigrams of their words, with a model trained on labelled documents.
 
 A word's vector is the sum of the log probabilities of its trigrams per language (additive smoothing); a text's
-vector is the sum of its words' vectors. Training uses a bounded sample of labelled texts (TRAINING_TEXTS).
+vector is the sum of its words' vectors. Training uses a bounded sample: of each language the TEXTS_EACH labelled texts of lowest hash priority, whole.
+A label is a code of two letters, of which there are at most 676. A few texts with a wrong label weigh little: probabilities are smoothed by what a label has.
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.operators.priority import first, priority
+from sieveline.operators.priority import priority
 
-#: Labelled texts that the model is fitted on; chosen by hash, equally from each language. Characters used of each.
-TRAINING_TEXTS, TRAINING_CHARS, LEAST_TEXTS = 3000, 2000, 5
+#: Labelled texts of each language that the model is fitted on, chosen by hash.
+TEXTS_EACH = 400
 _WORD = re.compile(r"[^\W\d_]+")
 CACHED = 300_000
 
@@ -30,7 +31,7 @@ class Languages:
         if got is None:
             if len(self.known) > CACHED:
                 self.known.clear()
-            p = f"^{w[:60]}$"
+            p = f"^{w}$"
             got = self.known[w] = sum((self.grams.get(p[k : k + 3], self.floor) for k in range(len(p) - 2)), np.zeros(len(self.names), np.float32))
         return got
 
@@ -73,8 +74,8 @@ class Languages:
 def fit(labelled: list[tuple[str, str]]) -> Languages:
     counts: dict[str, Counter] = defaultdict(Counter)
     for lang, text in labelled:
-        for w in _WORD.findall(text[:TRAINING_CHARS].lower()):
-            p = f"^{w[:60]}$"
+        for w in _WORD.findall(text.lower()):
+            p = f"^{w}$"
             counts[lang].update(p[k : k + 3] for k in range(len(p) - 2))
     names = sorted(counts)
     vocabulary = sorted(set().union(*counts.values())) if counts else []
@@ -85,10 +86,11 @@ def fit(labelled: list[tuple[str, str]]) -> Languages:
     return Languages(names, dict(zip(vocabulary, logs)), floor.astype(np.float32))
 
 
-def train(documents: DataFrame, texts: int = TRAINING_TEXTS) -> Languages:
-    """Fit on at most ``texts`` documents, chosen by hash; labels are read without case and region."""
+def train(documents: DataFrame, each: int = TEXTS_EACH) -> Languages:
+    """Fit on at most ``each`` documents of a language, chosen by hash; labels are read without case and region."""
     lang = F.lower(F.regexp_extract("lang", r"^\s*([A-Za-z]{2})(?:[-_].*)?\s*$", 1))
-    kept = documents.where("text IS NOT NULL").select(lang.alias("lang"), "doc_id", F.substring("text", 1, TRAINING_CHARS).alias("text"), priority("language-1", F.col("doc_id")).alias("priority")).where("lang <> ''")
-    rows = sorted(first(kept, texts, "doc_id").collect(), key=lambda r: (r.priority, r.doc_id))
-    sizes = Counter(r.lang for r in rows)
-    return fit([(r.lang, r.text) for r in rows if sizes[r.lang] >= LEAST_TEXTS])
+    kept = documents.where("text IS NOT NULL").select(lang.alias("lang"), "doc_id", priority("language-1", F.col("doc_id")).alias("priority")).where("lang <> ''")
+    # Each task passes on its first ones of a language, without their texts.
+    chosen = kept.withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy("priority", "doc_id"))).where(F.col("_at") <= each).select("doc_id", "lang", "priority")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    return fit([(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.priority, r.doc_id))])
