@@ -1,13 +1,15 @@
 """Defective pairs of question and answer, by a conditional random field over the clauses of the answer.
 
 The answer is cut into clauses; a linear-chain conditional random field tags each as answer, refusal, echo, foreign or
-unfinished; the words covered by each tag decide the pair's defect. Its features are the clause's words and its end
+unfinished; the words covered by each tag decide the pair's defect: none at all for an empty answer, more than half for a refusal or another
+language or a copy, and any unfinished clause for a truncated answer. Where a defect is defined exactly (copy, cut JSON), what the tags
+propose is checked. Its features are the clause's words and its end
 (both hashed), the share of its three-word runs that the question has, its language against the question's, and what the
 text leaves open at its end.
 
-It is trained here, without hand labels, on a bounded sample: answers (``TRAINING_ROWS``, by hash) are kept, cut, replaced by their own
-question or by an answer in another language; refusals are prose in projects whose proper outputs are labels or
-JSON, together with a few written below. Each tag is thus known by construction.
+It is trained here, without hand labels, on a bounded sample of rows, taken whole: answers (``TRAINING_ROWS``, by hash) are kept, cut, replaced by their own
+question or by an answer in another language; JSON (``JSON_ROWS``) is kept or cut; refusals are prose in projects whose proper outputs are labels or
+JSON, together with the few written below, which name the ways of declining in each language. Each tag is thus known by construction.
 
 Defined results: null, empty and unlettered outputs are ``empty``; a row whose project is unknown can be ``empty`` or
 ``refusal`` only; repeated rows get the same tag; texts are taken whole.
@@ -31,11 +33,11 @@ from sieveline.operators.priority import first, priority
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-TRAINING_ROWS, REFUSAL_ROWS, EPOCHS, HASHED = 3000, 600, 80, 1 << 13
+TRAINING_ROWS, REFUSAL_ROWS, JSON_ROWS, EPOCHS, HASHED = 3000, 600, 600, 80, 1 << 13
 COVERED = 0.5
 CACHED_CLAUSES = 200_000
 
-# Refusals in the languages of the texts, for training where the data have none.
+# Refusals in the languages of the texts, always part of the training.
 REFUSALS = (
     "I can't help with this.", "I am unable to answer that question.", "I must decline to respond.", "Sorry, I cannot assist with that.", "I am not allowed to discuss this.",
     "I would rather not comment on this topic.", "I would prefer not to say anything about it.", "I won't be able to provide that.", "My guidelines do not permit me to answer.", "As an assistant I cannot answer this.",
@@ -63,7 +65,8 @@ ASKS = re.compile(r"(answer|reply|replie|respon|write|antwort|schreib|répon|rep
 _CLAUSE = re.compile(r"(?<=[.!?;…。！？])\s+|\n\s*\n|\n(?=```)")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 _WORDS = re.compile(r"\w+")
-_ENDED = re.compile(r"(?:[.!?。！？][\"'”’»)\]]*|```|[”»\")\]])\s*$")
+_WORTH = re.compile(r"[^\W_]")
+_ENDED = re.compile(r"(?:[.!?。！？][\"'”’»)\]]*|```|[”»\")\]}])\s*$")
 _ELLIPSIS = re.compile(r"(?:\.{2,}|…)[\"'”’»)\]]*\s*$")
 
 
@@ -287,55 +290,81 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(examples: list[tuple[list, list[int]]], epochs: int = EPOCHS, ridge: float = 2e-4) -> Field:
-    """Maximum likelihood with a ridge, by Adam over all examples; forward-backward in log space over padded chains."""
-    T = len(TAGS)
-    weights, trans = np.zeros((FEATURES, T)), np.zeros((T, T))
-    examples = [x for x in examples if x[0] and len(x[0]) <= 12]
-    if not examples:
-        return Field(weights, trans)
-    longest = max(len(p) for p, _ in examples)
-    n = len(examples)
-    tag = np.full((n, longest), -1)
-    feature, owner = [], []
-    for k, (pair, tags) in enumerate(examples):
-        tag[k, : len(tags)] = tags
-        for i, (masked, _, context) in enumerate(pair):
-            f = lexical(masked) + list(context) + (ending(masked) if i == len(pair) - 1 else [])
-            feature += f
-            owner += [k * longest + i] * len(f)
-    feature, owner = np.array(feature), np.array(owner)
-    there = tag >= 0
-    gold = np.zeros((n, longest, T))
-    gold[there] = np.eye(T)[tag[there]]
-    gold_trans = np.einsum("nip,niq->pq", gold[:, :-1], gold[:, 1:])
-    m = [np.zeros_like(weights), np.zeros_like(trans)]
-    v = [np.zeros_like(weights), np.zeros_like(trans)]
-    for epoch in range(1, epochs + 1):
-        e = np.stack([np.bincount(owner, weights[feature, t], n * longest) for t in range(T)], axis=1).reshape(n, longest, T)
+class _Chains:
+    """Examples of about one length as arrays: the gold tags, and which feature stands at which place."""
+
+    def __init__(self, part: list[tuple[list, list[int]]]):
+        self.n, self.longest = len(part), max(len(p) for p, _ in part)
+        tag = np.full((self.n, self.longest), -1)
+        feature, owner = [], []
+        for k, (pair, tags) in enumerate(part):
+            tag[k, : len(tags)] = tags
+            for i, (masked, _, context) in enumerate(pair):
+                f = lexical(masked) + list(context) + (ending(masked) if i == len(pair) - 1 else [])
+                feature += f
+                owner += [k * self.longest + i] * len(f)
+        self.feature, self.owner, self.there = np.array(feature), np.array(owner), tag >= 0
+        self.gold = np.zeros((self.n, self.longest, len(TAGS)))
+        self.gold[self.there] = np.eye(len(TAGS))[tag[self.there]]
+        self.steps = np.einsum("nip,niq->pq", self.gold[:, :-1], self.gold[:, 1:])
+
+    def gradient(self, weights: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the log likelihood, by forward and backward sums in log space over padded chains."""
+        T, n, longest, there = len(TAGS), self.n, self.longest, self.there
+        e = np.stack([np.bincount(self.owner, weights[self.feature, t], n * longest) for t in range(T)], axis=1).reshape(n, longest, T)
         alpha = [e[:, 0]]
         for i in range(1, longest):
             a = _logsumexp(alpha[-1][:, :, None] + trans[None], 1) + e[:, i]
             alpha.append(np.where(there[:, i, None], a, alpha[-1]))
         beta = [np.zeros((n, T))]
         for i in range(longest - 2, -1, -1):
-            b = _logsumexp(trans[None] + (e[:, i + 1] + beta[0])[:, None, :], 2)
-            beta.insert(0, np.where(there[:, i + 1, None], b, 0.0))
+            b = _logsumexp(trans[None] + (e[:, i + 1] + beta[-1])[:, None, :], 2)
+            beta.append(np.where(there[:, i + 1, None], b, 0.0))
+        beta.reverse()
         z = _logsumexp(alpha[-1], 1)
         node = np.stack([np.exp(a + b - z[:, None]) for a, b in zip(alpha, beta)], axis=1) * there[:, :, None]
-        pair_sum = np.zeros((T, T))
+        pairs = np.zeros((T, T))
         for i in range(1, longest):
             p = np.exp(alpha[i - 1][:, :, None] + trans[None] + (e[:, i] + beta[i])[:, None, :] - z[:, None, None])
-            pair_sum += (p * there[:, i, None, None]).sum(axis=0)
-        gap = (gold - node).reshape(-1, T)[owner]
-        grads = [np.stack([np.bincount(feature, gap[:, t], FEATURES) for t in range(T)], axis=1) / n - ridge * weights, (gold_trans - pair_sum) / n - ridge * trans]
-        for k, (p, g) in enumerate(zip((weights, trans), grads)):
+            pairs += (p * there[:, i, None, None]).sum(axis=0)
+        gap = (self.gold - node).reshape(-1, T)[self.owner]
+        return np.stack([np.bincount(self.feature, gap[:, t], FEATURES) for t in range(T)], axis=1), self.steps - pairs
+
+
+def fit(examples: list[tuple[list, list[int]]], epochs: int = EPOCHS, ridge: float = 2e-4) -> Field:
+    """Maximum likelihood with a ridge, by Adam over all examples; chains of any length, in groups whose lengths differ by less than twice."""
+    weights, trans = np.zeros((FEATURES, len(TAGS))), np.zeros((len(TAGS), len(TAGS)))
+    groups: dict[int, list] = {}
+    for x in examples:
+        if x[0]:
+            groups.setdefault(len(x[0]).bit_length(), []).append(x)
+    if not groups:
+        return Field(weights, trans)
+    chains = [_Chains(groups[k]) for k in sorted(groups)]
+    n = sum(c.n for c in chains)
+    m = [np.zeros_like(weights), np.zeros_like(trans)]
+    v = [np.zeros_like(weights), np.zeros_like(trans)]
+    for epoch in range(1, epochs + 1):
+        parts = [c.gradient(weights, trans) for c in chains]
+        for k, p in enumerate((weights, trans)):
+            g = sum(part[k] for part in parts) / n - ridge * p
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
             p += 0.1 * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(v[k] / (1 - 0.999**epoch)) + 1e-8)
     return Field(weights, trans)
 
 
+def structured(outputs: list[str], reader: Reader, seed: int = 11) -> list[tuple[list, list[int]]]:
+    """JSON outputs whose last clause is known to be whole or unfinished: every other one is cut somewhere."""
+    rng = np.random.default_rng(seed)
+    good = [o for o in outputs if o.lstrip()[:1] in ("{", "[") and not json_cut(o)]
+    made = [o[: int(rng.integers(1, max(2, len(o.rstrip()))))] if k % 2 else o for k, o in enumerate(good)]
+    out = []
+    for p, text in zip(reader.pairs([""] * len(made), made, [False] * len(made)), made):
+        out.append((p, [ANSWER] * (len(p) - 1) + [UNFINISHED if json_cut(text) else ANSWER]))
+    return [x for x in out if x[0]]
+
+
 def examples(answers: list[tuple[str, str]], refusals: list[str], reader: Reader, seed: int = 7) -> list[tuple[list, list[int]]]:
     """Pairs whose tags are known because they are made here: kept, cut, echoed, foreign and refused answers.
 
@@ -378,7 +407,7 @@ def examples(answers: list[tuple[str, str]], refusals: list[str], reader: Reader
     return out
 
 
-def trained(answers: list[tuple[str, str]], refusals: list[str], languages: language.Languages) -> Field:
+def trained(answers: list[tuple[str, str]], refusals: list[str], languages: language.Languages, outputs: list[str] = []) -> Field:  # noqa: B006
     """Fit in two steps: a field of one half of the answers strikes those of the other half that it takes for refusals, then all are fitted."""
     reader = Reader(languages)
     kept = []
@@ -387,7 +416,7 @@ def trained(answers: list[tuple[str, str]], refusals: list[str], languages: lang
         mine = answers[1 - k :: 2]
         tags = judge.decode(reader.pairs([q for q, _ in mine], [a for _, a in mine], [True] * len(mine)))
         kept += [x for x, t in zip(mine, tags) if not len(t) or (t == REFUSAL).mean() <= COVERED]
-    return fit(examples(kept, refusals, reader))
+    return fit(examples(kept, refusals, reader) + structured(outputs, reader))
 
 
 def _in_order(rows: DataFrame) -> list:
@@ -400,28 +429,35 @@ def train(rows: DataFrame, kinds: DataFrame, languages: language.Languages) -> F
     answers = _in_order(first(picked.where("task_kind = 'answer'"), TRAINING_ROWS, "row_id"))
     prose = picked.where("task_kind IN ('routing', 'extraction')").where(F.col("output").rlike(r"\p{L}+ +\p{L}+ +\p{L}+") & ~F.col("output").rlike(r"^\s*[\{\[\"]"))
     refused = _in_order(first(prose, REFUSAL_ROWS, "row_id"))
-    return trained([(r.input, r.output) for r in answers], [r.output for r in refused], languages)
+    written = _in_order(first(picked.where("task_kind = 'extraction'").where(F.col("output").rlike(r"^\s*[\{\[]")), JSON_ROWS, "row_id"))
+    return trained([(r.input, r.output) for r in answers], [r.output for r in refused], languages, [r.output for r in written])
+
+
+def coverage(pair: list, tags: np.ndarray, answer: str) -> np.ndarray:
+    """The share of an answer's words that each tag covers; all zero for an answer without a letter or digit."""
+    if not len(pair) or not _WORTH.search(answer):
+        return np.zeros(len(TAGS))
+    words = np.array([max(1, w) for _, w, _ in pair])
+    return np.bincount(tags, words, len(TAGS)) / words.sum()
 
 
 def defects(questions: list[str], answers: list[str | None], kinds: list[str | None], field: Field, reader: Reader) -> list[str | None]:
-    """The first defect of each pair, or None."""
-    made = reader.pairs([q or "" for q in questions], [a if a and any(map(str.isalnum, a)) else "" for a in answers], [k == "answer" for k in kinds])
-    tagged = field.decode(made)
+    """The first defect of each pair, or None, from the coverage of its tags."""
+    made = reader.pairs([q or "" for q in questions], [a or "" for a in answers], [k == "answer" for k in kinds])
     out: list[str | None] = []
-    for q, a, kind, pair, tags in zip(questions, answers, kinds, made, tagged):
-        if not a or not any(map(str.isalnum, a)):
-            out.append("empty")
-            continue
-        covered = np.bincount(tags, [max(1, w) for _, w, _ in pair], len(TAGS)) / max(1, sum(max(1, w) for _, w, _ in pair)) if len(pair) else np.zeros(len(TAGS))
+    for q, a, kind, pair, tags in zip(questions, answers, kinds, made, field.decode(made)):
+        a = a or ""
+        covered = coverage(pair, tags, a)
         proper = kind == "extraction" and a.lstrip()[:1] in ("{", "[") or kind == "routing" and len(_WORDS.findall(a)) <= 2
-        echoed = any(c[0] > ECHO_AT for _, _, c in pair)
-        if kind == "answer" and (echoed or covered[ECHO] > 0) and copied(q or "", a):
+        if not covered.any():
+            out.append("empty")
+        elif kind == "answer" and covered[ECHO] > COVERED and copied(q or "", a):
             out.append("copy")
         elif not proper and covered[REFUSAL] > COVERED:
             out.append("refusal")
         elif kind == "answer" and covered[FOREIGN] > COVERED:
             out.append("language")
-        elif kind == "answer" and len(tags) and tags[-1] == UNFINISHED or kind == "extraction" and json_cut(a):
+        elif covered[UNFINISHED] > 0 and (kind == "answer" or kind == "extraction" and json_cut(a)):
             out.append("truncated")
         else:
             out.append(None)

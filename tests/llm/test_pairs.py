@@ -26,6 +26,13 @@ def test_requested():
     assert pairs.requested("Merci de répondre en anglais.") == {"en"}
 
 
+# None of these is among the sentences that the field is trained on.
+HELD_REFUSALS = (
+    "I'm afraid I cannot help you with that request.", "I am not able to answer this question.", "Sorry, but I can't assist here.", "I have to decline to answer this.", "I would prefer not to comment.",
+    "Leider kann ich diese Frage nicht beantworten.", "Je ne peux pas répondre à cette question.", "No puedo responder a esta pregunta.", "Não posso responder a esta pergunta.",
+)
+
+
 @pytest.fixture(scope="module")
 def taught():
     con = duckdb.connect()
@@ -34,7 +41,8 @@ def taught():
     languages = language.fit(docs)
     reader = pairs.Reader(languages)
     good = [(q, a) for q, a in good if pairs.left_open(a) == 0 and not pairs.copied(q, a) and reader.tongue(a) and reader.tongue(a) == languages.best(languages.score(q), 4.0)]
-    return languages, pairs.trained(good[:1200], list(pairs.REFUSALS), languages), good[1200:1700]
+    written = [o for (o,) in con.sql(f"SELECT output FROM '{DATA.replace('0.001', '0.01')}/evaluation_rows.parquet' JOIN '{DATA}/projects.parquet' USING (project_id) WHERE task_kind = 'extraction' AND starts_with(output, '{{') ORDER BY row_id LIMIT 300").fetchall()]
+    return languages, pairs.trained(good[:1200], [], languages, written), good[1200:1700]
 
 
 def test_held_out_accuracy(taught):
@@ -47,7 +55,7 @@ def test_held_out_accuracy(taught):
         if kind == "copy":
             a = q
         elif kind == "refusal":
-            a = rng.choice(pairs.REFUSALS) + rng.choice(["", " Have a good day."])
+            a = rng.choice(HELD_REFUSALS)
         elif kind == "language":
             a = next(o for _, o in rng.sample(held, len(held)) if reader.tongue(o) != reader.tongue(a))
             if pairs.requested(q):
@@ -61,9 +69,31 @@ def test_held_out_accuracy(taught):
         expected.append(None if kind == "none" else kind)
     got = pairs.defects(questions, answers, ["answer"] * len(questions), field, reader)
     right = sum(g == e for g, e in zip(got, expected)) / len(expected)
+    refused = [g for g, e in zip(got, expected) if e == "refusal"]
+    assert refused.count("refusal") >= 0.8 * len(refused), refused
     assert right > 0.95, [(e, g, a) for e, g, a in zip(expected, got, answers) if e != g][:10]
 
 
+def test_tags_decide(taught):
+    """Without the field's tags no row has a defect but an empty one."""
+    import numpy as np
+
+    languages, field, held = taught
+    blank = pairs.Field(np.zeros_like(field.weights), np.zeros_like(field.transitions))
+    reader = pairs.Reader(languages)
+    given = [(held[0][0], held[0][0], "answer"), ("q", "I can't help with this.", "answer"), ("q", '{"a": "b', "extraction"), ("q", held[0][1][:40], "answer"), ("q", "__", "answer")]
+    run = lambda f: pairs.defects([g[0] for g in given], [g[1] for g in given], [g[2] for g in given], f, reader)
+    assert run(field) == ["copy", "refusal", "truncated", "truncated", "empty"] and run(blank) == [None, None, None, None, "empty"]
+
+
+def test_chains_of_any_length():
+    rng = random.Random(0)
+    words = {0: "alpha beta gamma", 1: "sorry cannot help"}
+    made = [([(words[t], 3, (pairs.FIRST_AT,)) for t in tags], tags) for tags in ([rng.randrange(2) for _ in range(n)] for n in (1, 2, 3, 5, 9, 40, 150) for _ in range(6))]
+    field = pairs.fit(made, epochs=40)
+    assert all(list(got) == tags for got, (_, tags) in zip(field.decode([p for p, _ in made]), made))
+
+
 def test_kinds_decide_what_applies(taught):
     languages, field, _ = taught
     reader = pairs.Reader(languages)
