@@ -47,7 +47,7 @@ def contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     live = cut(edges.select("a", "b", "w", F.col("a").alias("u"), F.col("b").alias("v")))
     labels = cut(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
     forest = spark.createDataFrame([], "a long, b long, w long")
-    while live.limit(1).count():
+    while not live.isEmpty():
         both = live.select("u", "v", "a", "b", "w").unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v"), "a", "b", "w"))
         least = cut(both.groupBy("u").agg(F.min(F.struct("w", "a", "b", "v")).alias("e")).select("u", "e.*"))
         forest = forest.unionByName(least.select("a", "b", "w").distinct())
@@ -55,10 +55,13 @@ def contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         other = least.select(F.col("u").alias("v"), F.col("v").alias("back"))
         parent = cut(least.select("u", "v").join(other, "v", "left").select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("p")))
         while True:
+            # Two jumps a job: each doubles how far a pointer reaches.
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            nearer = cut(parent.join(up, "p").select("u", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+            twice = parent.join(up, "p").select("u", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved"))
+            far = twice.select(F.col("u").alias("p"), F.col("p").alias("q"), F.col("moved").alias("on"))
+            nearer = cut(twice.join(far, "p").select("u", F.col("q").alias("p"), (F.col("moved") | F.col("on")).alias("moved")))
             parent = nearer.select("u", "p")
-            if not nearer.where("moved").limit(1).count():
+            if nearer.where("moved").isEmpty():
                 break
         labels = cut(labels.join(parent.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
         left, right = parent.select("u", F.col("p").alias("nu")), parent.select(F.col("u").alias("v"), F.col("p").alias("nv"))
@@ -69,23 +72,23 @@ def contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return labels, written(forest, "spanning-forest")
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """Edges (a, b, w) between the keys of a row, the first with each other one; w is the smallest row that has both.
+def links(keys: DataFrame) -> DataFrame:
+    """Edges (a, b, w) between the keys of a row of ``keys``, the first with each other one; w is the smallest row that has both.
 
     A row with one key gives a loop, so that its node is known.
     """
     k = F.col("keys")
-    pairs = keyed(rows).where(F.size("keys") > 0).select("row_id", F.get(k, F.lit(0)).alias("first"), F.explode(k).alias("key")).where((F.col("first") != F.col("key")) | (F.size(k) == 1))
+    pairs = keys.where(F.size("keys") > 0).select("row_id", F.get(k, F.lit(0)).alias("first"), F.explode(k).alias("key")).where((F.col("first") != F.col("key")) | (F.size(k) == 1))
     return pairs.groupBy(F.least("first", "key").alias("a"), F.greatest("first", "key").alias("b")).agg(F.min("row_id").alias("w"))
 
 
-def components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, group_id, n_rows, tuning, heldout) of every key, and the spanning forest."""
-    edges = cut(links(rows))
+def components(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, group_id, n_rows, tuning, heldout) of every key of ``keys``, which is read several times, and the spanning forest."""
+    edges = cut(links(keys))
     labels, forest = contract(edges.where("a <> b"))
     loops = edges.where("a = b").select(F.col("a").alias("node")).join(labels, "node", "left_anti").select("node", F.col("node").alias("root"))
     labels = labels.unionByName(loops)
-    by_key = keyed(rows).where(F.size("keys") > 0).groupBy(F.get("keys", F.lit(0)).alias("node")).agg(
+    by_key = keys.where(F.size("keys") > 0).groupBy(F.get("keys", F.lit(0)).alias("node")).agg(
         F.min("row_id").alias("low"), F.count("*").alias("n"), F.count_if(F.col("side") == "tuning").alias("t"), F.count_if(F.col("side") == "heldout").alias("h")
     )
     groups = labels.join(by_key, "node").groupBy("root").agg(F.min("low").alias("group_id"), F.sum("n").alias("n_rows"), (F.sum("t") > 0).alias("tuning"), (F.sum("h") > 0).alias("heldout"))
@@ -94,8 +97,9 @@ def components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parted(rows: DataFrame) -> DataFrame:
     """(row_id, group_id): every row of each group that has rows on both sides."""
-    nodes, _ = components(rows)
-    members = keyed(rows).where(F.size("keys") > 0).select("row_id", F.get("keys", F.lit(0)).alias("node"))
+    keys = cut(keyed(rows))
+    nodes, _ = components(keys)
+    members = keys.where(F.size("keys") > 0).select("row_id", F.get("keys", F.lit(0)).alias("node"))
     return members.join(nodes.where("tuning AND heldout").select("node", "group_id"), "node").select("row_id", "group_id")
 
 
@@ -106,9 +110,9 @@ def assign(rows: DataFrame, proportions: tuple[tuple[str, int], ...] = PROPORTIO
     order: the k-th goes to the split in whose share of the cumulative proportions the k-th step of the golden ratio
     falls, which stays close to the proportions over every stretch of a shard.
     """
-    nodes, _ = components(rows)
-    nodes = cut(nodes)
-    have = keyed(rows).select("row_id", F.get("keys", F.lit(0)).alias("node"))
+    keys = cut(keyed(rows))
+    nodes = cut(components(keys)[0])
+    have = keys.select("row_id", F.get("keys", F.lit(0)).alias("node"))
     known = have.where("node IS NOT NULL").join(nodes.select("node", "group_id", "n_rows"), "node").select("row_id", "group_id", "n_rows")
     alone = have.where("node IS NULL").select("row_id", F.col("row_id").alias("group_id"), F.lit(1).cast("long").alias("n_rows"))
     members = known.unionByName(alone)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sieveline.llm import formatting, groups, ledger, overlap, pairs, quota
-from sieveline.session import scratch, ship, table
+from sieveline.session import cut, scratch, ship, table
 
 
 def _rows(spark, d):
@@ -48,15 +48,16 @@ def p5_shares(spark, d):
 
 
 def p5_forest(spark, d):
-    return groups.components(_rows(spark, d))[1]
+    return groups.components(cut(groups.keyed(_rows(spark, d))))[1]
 
 
 def p6_found(spark, d):
-    return quota.report(quota.reservoirs(_rows(spark, d)), table(spark, d, "sample_targets")).where("exhausted").select("target_id")
+    return p6_report(spark, d).where("exhausted").select("target_id")
 
 
 def p6_report(spark, d):
-    return quota.report(quota.reservoirs(_rows(spark, d)), table(spark, d, "sample_targets"))
+    targets = table(spark, d, "sample_targets")
+    return quota.report(quota.counts(quota.reservoirs(_rows(spark, d), targets)), targets)
 
 
 def p6_sample(spark, d):

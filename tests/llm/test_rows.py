@@ -134,7 +134,7 @@ def test_groups_against_union_find(spark):
     for r in dealt:
         assert of.setdefault(r.group_id, r.assigned) == r.assigned
     assert {r.row_id: r.group_id for r in dealt} == {i: min(m) for m in members.values() for i in m}
-    forest = groups.components(df)[1].collect()
+    forest = groups.components(groups.keyed(df))[1].collect()
     nodes = {x for r in forest for x in (r.a, r.b)}
     trees = {find(k) for k in parent if not isinstance(k, int)}
     assert len(forest) <= len(nodes) - 1 and len({(r.a, r.b) for r in forest}) == len(forest) and trees
@@ -151,15 +151,35 @@ def test_quota_draws_what_is_feasible(spark):
     given = [{"split": "train", "difficulty": d} for d in ["easy"] * 50 + ["very_hard", " Very-Hard "] * 2 + [None] * 6] + [{"split": "test", "coverage": "a"}] * 5
     targets = spark.createDataFrame([(1, "tuning", "difficulty", "easy", 50, 5, 40), (2, "tuning", "difficulty", "very-hard", 50, 3, 40), (3, "heldout", "coverage", "a", 10, 4, 50), (4, "heldout", "coverage", "none", 0, 0, 50)], "target_id long, side string, category_field string, category string, share_pct int, min_rows int, sample_pct int")
     df = rows(spark, *given)
-    got = {r.target_id: (r.pool_rows, r.n, r.needed, r.available, r.taken, r.exhausted) for r in quota.report(quota.reservoirs(df), targets).collect()}
+    got = {r.target_id: (r.pool_rows, r.n, r.needed, r.available, r.taken, r.exhausted) for r in quota.report(quota.counts(quota.reservoirs(df, targets)), targets).collect()}
     assert got == {1: (60, 24, 12, 50, 12, False), 2: (60, 24, 12, 4, 4, True), 3: (5, 2, 4, 5, 4, False), 4: (5, 2, 0, 0, 0, False)}
     drawn = collections.Counter(r.target_id for r in quota.draw(clashing(df), targets).collect())
     assert drawn == {1: 12, 2: 4, 3: 4}
     assert sorted(map(tuple, quota.draw(df.repartition(6), targets).collect())) == sorted(map(tuple, quota.draw(df, targets).collect()))
-    assert [r.available for r in quota.report(quota.reservoirs(df.limit(0)), targets).collect()] == [0] * 4
+    assert [r.available for r in quota.report(quota.counts(quota.reservoirs(df.limit(0), targets)), targets).collect()] == [0] * 4
     assert quota.draw(df.limit(0), targets).collect() == []
 
 
+@pytest.mark.parametrize("together", [False, True])
+def test_reservoirs_are_trimmed_and_stay_exact(spark, together):
+    """Also where all rows of a category come together in one task, whose reservoir then has dropped too many."""
+    from sieveline.operators.priority import priority
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 200)
+    given = [{"split": "train", "difficulty": "hard"}] * 3000 + [{"split": "train", "difficulty": "easy"}] * 27000
+    df = rows(spark, *given)
+    df = df.coalesce(1) if together else df.repartition(5)
+    targets = spark.createDataFrame([(1, "tuning", "difficulty", "hard", 40, 0, 10), (2, "tuning", "difficulty", "easy", 60, 5, 10)], "target_id long, side string, category_field string, category string, share_pct int, min_rows int, sample_pct int")
+    kept = quota.reservoirs(df, targets).where("row_id IS NOT NULL").groupBy("category").count().collect()
+    n = {r.category: r["count"] for r in kept}
+    assert n["easy"] < 0.4 * 27000 and n["hard"] < 1200
+    got = sorted(map(tuple, quota.draw(df, targets).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    order = [r.row_id for r in df.select("row_id").orderBy(priority(quota.SEED, F.col("row_id")), "row_id").collect()]
+    hard = {i for i, g in enumerate(given, 1) if g["difficulty"] == "hard"}
+    assert got == sorted([(1, i) for i in [i for i in order if i in hard][:1200]] + [(2, i) for i in [i for i in order if i not in hard][:1800]])
+
+
 def test_formatting_against_brute_force(spark):
     obj = {"a": 1.25, "B": {"x": [1, "Two!"], "y": None}, "c": True}
     swapped = '{ "c":true,"B":{"y":null,"x":[ 1,"two"]}, "a":1.25}'
@@ -195,10 +215,26 @@ def test_formatting_against_brute_force(spark):
 
 
 def test_digest_ignores_the_order_of_fields_only():
-    a, b, c = (formatting.tree(t) for t in ('{"a": 1, "b": {"c": 2, "d": 3}}', '{"b": {"d": 3, "c": 2}, "a": 1}', '{"b": {"d": 2, "c": 3}, "a": 1}'))
+    a, b, c = (formatting.parsed(t) for t in ('{"a": 1, "b": {"c": 2, "d": 3}}', '{"b": {"d": 3, "c": 2}, "a": 1}', '{"b": {"d": 2, "c": 3}, "a": 1}'))
     assert formatting.digest(a) == formatting.digest(b) != formatting.digest(c)
     deep = "{\"a\":" * 3000 + "1" + "}" * 3000
-    assert formatting.tree(deep)[0] in "ot"
+    assert formatting.form(formatting.parsed(deep))[0] in "ot"
+
+
+def test_leaves_have_the_same_digest_in_both_engines(spark):
+    df = rows(spark, {"input": "Hello, World", "output": "Ünï 1"}, {"input": "{no object, hello world", "output": "ünï1"}, {"input": "hello world", "output": "ünï1"})
+    roots = [bytes(r.root) for r in formatting.digested(df).orderBy("row_id").collect()]
+    assert roots[0] == roots[2] != roots[1]
+    import hashlib
+
+    assert roots[0] == hashlib.md5(formatting.digest("helloworld") + formatting.digest("ünï1")).digest()
+
+
+def test_digests_that_clash_are_told_apart(spark, monkeypatch):
+    given = [("a", "b"), ("c", "d"), ("A!", "b"), ("e", "f")]
+    df = rows(spark, *({"input": a, "output": b} for a, b in given))
+    monkeypatch.setattr(formatting, "digested", lambda r: r.select("row_id", F.when(F.col("row_id") < 4, F.lit(b"x")).otherwise(F.lit(b"y")).alias("root")))
+    assert [tuple(r) for r in formatting.copies(df).collect()] == [(1, 3)]
 
 
 @pytest.mark.parametrize("name", ["p2_counts", "p5_found", "p5_splits", "p5_forest", "p7_found", "p7_collapsed"])
