@@ -1,29 +1,26 @@
 """Column profile of loads and the changes between a load and the one before it.
 
 Every load is compared with its predecessor in two ways. Exact aggregates count nulls, invalid and distinct
-values. A classifier two-sample test trains logistic regressions that tell the two loads' rows apart:
+values. A classifier two-sample test trains logistic regressions that tell the two loads' rows apart: one over all columns, one without each
+column (ablation) and one with each alone, every one fitted on one half of the rows and judged on the other (cross-fitting). A column is proposed as changed if
+it discriminates by itself, or if leaving it out costs the full model, as much as the least change that counts would; the exact aggregates then decide.
 
-* one model per column over the values themselves. Its classes are weighted equally and its features are the
-  one-hot values, so the maximum separates by value, coefficient ``log(p_now / p_before)``; one aggregation trains
-  it, however many values there are. Its balanced accuracy ``a`` on the rows it was trained on is tied to the total
-  variation ``v`` of the two distributions by ``a = (1 + v) / 2``;
-* one model over all columns with hashed values, fitted on one half of the rows and judged on the other, and again
-  without each column (ablation) and with it alone. Rows are first counted by bucket combination, so a
-  load of any size becomes a bounded number of weighted rows; the fits of different loads run in parallel.
+Training is distributed gradient descent: rows are counted by bucket combination, each step is a join of these weighted rows with the coefficients
+of their load and an aggregation of gradients and curvatures by load and coefficient, with partial sums in every task. All models of all loads
+take their steps together. Nothing of it is on the driver, and a load of any size is spread like the others.
 
 Nulls, values outside the vocabulary, empty tables, loads without rows and extra columns are handled: a load
 without rows has no profile; a predecessor without rows gives no comparison; a column without valid values on
-either side gives no ``shift``.
+either side gives no ``shift``. ``pattern`` and ``distinct`` are exact rules about values of one load and their number, which no classifier sees.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import HELDOUT, TUNING
+from sieveline.session import cut
 
 COLUMNS = ("difficulty", "split", "source")
 # The vocabulary of a difficulty and the form of a source.
@@ -34,7 +31,9 @@ INVALID_PERCENT = 5
 NULLS_PERCENT = 15
 SHIFT_PERCENT = 25
 #: Hash buckets of the classifier over all columns; bucket 0 is null.
-BUCKETS = {"difficulty": 16, "split": 32, "source": 96}
+BUCKETS = {"difficulty": 64, "split": 64, "source": 256}
+#: Steps of the descent, the ridge, and the standard errors by which a discrimination may fall short by chance.
+STEPS, RIDGE, ERRORS = 6, 1e-4, 3.0
 
 
 def valid(column: Column, value: Column) -> Column:
@@ -65,98 +64,102 @@ def base(counts: DataFrame) -> DataFrame:
     )
 
 
-def column_models(counts: DataFrame, stats: DataFrame, loads: DataFrame) -> DataFrame:
-    """The one-column classifiers: per load and column, balanced training accuracy over all values and over valid ones.
+def _pairs(loads: DataFrame) -> DataFrame:
+    return loads.where(F.col("prev_load_id").isNotNull()).select("load_id", "prev_load_id").distinct()
 
-    ``shift_rows`` is the same for valid values in whole numbers: the sum of ``|a_v B - b_v A|`` for counts a, b and totals A, B.
-    """
-    pairs = loads.where(F.col("prev_load_id").isNotNull()).select("load_id", "prev_load_id").distinct()
-    now = counts.join(pairs, "load_id").select("load_id", "column_name", "value", "ok", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))
-    old = counts.withColumnRenamed("load_id", "prev_load_id").join(pairs, "prev_load_id").select("load_id", "column_name", "value", "ok", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
-    merged = now.unionByName(old).groupBy("load_id", "column_name", "value", "ok").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    this = stats.select("load_id", "column_name", F.col("n_rows").alias("rows_a"), F.col("n_valid").alias("valid_a"))
-    prev = pairs.join(stats.select(F.col("load_id").alias("prev_load_id"), "column_name", F.col("n_rows").alias("rows_b"), F.col("n_valid").alias("valid_b")), "prev_load_id")
-    scaled = merged.join(this, ["load_id", "column_name"]).join(prev.drop("prev_load_id"), ["load_id", "column_name"])
-    p, q = F.col("a") / F.col("rows_a"), F.col("b") / F.col("rows_b")
-    vp, vq = F.col("a") / F.col("valid_a"), F.col("b") / F.col("valid_b")
-    # The fitted coefficient, log(p / q), votes for the load where the value has the larger share.
-    right = F.when(p > q, p).otherwise(q)
-    right_valid = F.when(F.col("ok"), F.when(vp > vq, vp).otherwise(vq))
+
+def shifts(counts: DataFrame, stats: DataFrame, loads: DataFrame) -> DataFrame:
+    """(load_id, column_name, shift_rows): over valid values, the sum of ``|a B - b A|`` for counts a, b and totals A, B of a load and the one before it."""
+    pairs = _pairs(loads)
+    zero = F.lit(0).cast("long")
+    valid_only = counts.where("ok")
+    now = valid_only.join(pairs, "load_id").select("load_id", "column_name", "value", F.col("n").alias("a"), zero.alias("b"))
+    old = valid_only.withColumnRenamed("load_id", "prev_load_id").join(pairs, "prev_load_id").select("load_id", "column_name", "value", zero.alias("a"), F.col("n").alias("b"))
+    merged = now.unionByName(old).groupBy("load_id", "column_name", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    this = stats.select("load_id", "column_name", F.col("n_valid").alias("valid_a"))
+    prev = pairs.join(stats.select(F.col("load_id").alias("prev_load_id"), "column_name", F.col("n_valid").alias("valid_b")), "prev_load_id").drop("prev_load_id")
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     gap = F.abs(wide("a") * wide("valid_b") - wide("b") * wide("valid_a"))
-    return scaled.groupBy("load_id", "column_name").agg(
-        (F.sum(right) / 2).alias("accuracy"),
-        (F.sum(right_valid) / 2).alias("accuracy_valid"),
-        F.sum(F.when(F.col("ok"), gap)).alias("shift_rows"),
-    )
+    return merged.join(this, ["load_id", "column_name"]).join(prev, ["load_id", "column_name"]).groupBy("load_id", "column_name").agg(F.sum(gap).alias("shift_rows"))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
-    """Ridge logistic regression over one-hot blocks: diagonal Newton steps, bounded by the number of blocks."""
-    theta = np.zeros(size)
-    share = np.where(y == 1, weight / max(weight[y == 1].sum(), 1e-12), weight / max(weight[y == 0].sum(), 1e-12)) * 0.5
-    flat = x.T.ravel()
-    blocks = x.shape[1]
-    for _ in range(30):
-        z = theta[x].sum(axis=1)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        g = np.bincount(flat, np.tile(share * (y - p), blocks), size) - 1e-4 * theta
-        h = np.bincount(flat, np.tile(share * p * (1 - p), blocks), size) + 1e-4
-        theta += g / (h * blocks)
-    return theta
+#: The columns of each model: all, all but one, one.
+MODELS = (tuple(COLUMNS), *(tuple(c for c in COLUMNS if c != left) for left in COLUMNS), *((c,) for c in COLUMNS))
+_STARTS = {c: sum(BUCKETS[x] for x in COLUMNS[:k]) for k, c in enumerate(COLUMNS)}
+_WIDTH = sum(BUCKETS.values())
 
 
-def _auc(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """Area under the curve of weighted rows, ties counted half; 0.5 where a class is missing."""
-    pos, neg = weight[y == 1].sum(), weight[y == 0].sum()
-    if not pos or not neg:
-        return 0.5
-    keys, inverse = np.unique(np.round(score, 9), return_inverse=True)
-    a, b = np.bincount(inverse, weight * (y == 1), len(keys)), np.bincount(inverse, weight * (y == 0), len(keys))
-    below = np.concatenate([[0.0], np.cumsum(b)[:-1]])
-    return float((a * (below + b / 2)).sum() / (pos * neg))
+def _place(model: int, fold: Column, column: str) -> Column:
+    """Where the coefficient of a row's value stands among those of its load."""
+    return (F.lit(model * 2) + fold) * _WIDTH + _STARTS[column] + F.col(column)
 
 
-def _cross_fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-    starts = np.cumsum([0, *(BUCKETS[c] for c in COLUMNS)])
-    x = np.stack([pdf[c].to_numpy() + s for c, s in zip(COLUMNS, starts)], axis=1).astype(np.int64)
-    y, w, fold = pdf["label"].to_numpy(), pdf["n"].to_numpy(np.float64), pdf["fold"].to_numpy()
+def _score(model: int, fold: Column) -> Column:
+    return sum((F.get("theta", _place(model, fold, c)) for c in MODELS[model]), F.lit(0.0))
 
-    def judged(cols: list[int]) -> float:
-        got = [0.5, 0.5]
-        for k in (0, 1):
-            train, test = fold != k, fold == k
-            if train.any() and test.any() and len(set(y[train])) == 2:
-                theta = _fit(x[train][:, cols], y[train], w[train], int(starts[-1]))
-                got[k] = _auc(theta[x[test][:, cols]].sum(axis=1), y[test], w[test])
-        return sum(got) / 2
 
-    every = list(range(len(COLUMNS)))
-    full = judged(every)
-    rows = [(int(pdf["load_id"].iloc[0]), c, full, judged([j for j in every if j != i]), judged([i])) for i, c in enumerate(COLUMNS)]
-    return pd.DataFrame(rows, columns=["load_id", "column_name", "auc_full", "auc_without", "auc_alone"])
+def cells(rows: DataFrame, loads: DataFrame) -> DataFrame:
+    """(load_id, label, fold, a bucket of each column, n, share): the rows of a load (label 1) and of the one before it (0), counted; both labels weigh alike."""
+    bucket = lambda c: F.when(F.col(c).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(c), F.lit(BUCKETS[c] - 1))).cast("int").alias(c)
+    counted = rows.select("load_id", F.pmod(F.xxhash64("row_id"), F.lit(2)).cast("int").alias("fold"), *map(bucket, COLUMNS)).groupBy("load_id", "fold", *COLUMNS).agg(F.count("*").alias("n"))
+    pairs = _pairs(loads)
+    now = counted.join(pairs.select("load_id"), "load_id").withColumn("label", F.lit(1))
+    old = counted.withColumnRenamed("load_id", "prev_load_id").join(pairs, "prev_load_id").drop("prev_load_id").withColumn("label", F.lit(0))
+    both = cut(now.unionByName(old))
+    totals = both.groupBy("load_id", "label", "fold").agg(F.sum("n").alias("total"))
+    return cut(both.join(totals, ["load_id", "label", "fold"]).withColumn("share", F.col("n") / F.col("total") / 2).drop("total"))
+
+
+def train(cells: DataFrame) -> DataFrame:
+    """(load_id, theta): the coefficients of all models of a load, those of either fold's rows."""
+    theta = cut(cells.select("load_id").distinct().withColumn("theta", F.array_repeat(F.lit(0.0), len(MODELS) * 2 * _WIDTH)))
+    fold = F.col("fold")
+    for _ in range(STEPS):
+        at = cells.join(theta, "load_id").select("load_id", "label", "fold", "share", *COLUMNS, *((1 / (1 + F.exp(-_score(m, fold)))).alias(f"p{m}") for m in range(len(MODELS))))
+        part = lambda m, c: F.struct(_place(m, fold, c).alias("i"), (F.col("share") * (F.col("label") - F.col(f"p{m}"))).alias("g"), (F.col("share") * F.col(f"p{m}") * (1 - F.col(f"p{m}"))).alias("h"))
+        parts = at.select("load_id", F.explode(F.array(*(part(m, c) for m, cs in enumerate(MODELS) for c in cs))).alias("x"))
+        sums = parts.groupBy("load_id", "x.i").agg(F.sum("x.g").alias("g"), F.sum("x.h").alias("h"))
+        # One coefficient array of fixed length for each load.
+        steps = sums.groupBy("load_id").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("g", "h")))).alias("m"))
+        sizes = F.array(*(F.lit(float(len(cs))) for cs in MODELS))
+
+        def moved(x: Column, i: Column) -> Column:
+            s = F.col("m")[i]
+            return x + (F.coalesce(s["g"], F.lit(0.0)) - RIDGE * x) / ((F.coalesce(s["h"], F.lit(0.0)) + RIDGE) * F.get(sizes, F.floor(i / (2 * _WIDTH)).cast("int")))
+
+        theta = cut(theta.join(steps, "load_id").select("load_id", F.transform("theta", moved).alias("theta")))
+    return theta
 
 
 def discrimination(rows: DataFrame, loads: DataFrame) -> DataFrame:
-    """(load_id, column_name, auc_full, auc_without, auc_alone): cross-fitted and ablated, for loads with a predecessor."""
-    bucket = lambda c: F.when(F.col(c).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(c), F.lit(BUCKETS[c] - 1))).cast("int").alias(c)
-    cells = rows.select("load_id", F.pmod(F.xxhash64("row_id"), F.lit(2)).cast("int").alias("fold"), *map(bucket, COLUMNS)).groupBy("load_id", "fold", *COLUMNS).agg(F.count("*").alias("n"))
-    pairs = loads.where(F.col("prev_load_id").isNotNull()).select("load_id", "prev_load_id").distinct()
-    now = cells.join(pairs.select("load_id"), "load_id").withColumn("label", F.lit(1))
-    old = cells.withColumnRenamed("load_id", "prev_load_id").join(pairs, "prev_load_id").drop("prev_load_id").withColumn("label", F.lit(0))
-    return now.unionByName(old).groupBy("load_id").applyInPandas(_cross_fitted, "load_id long, column_name string, auc_full double, auc_without double, auc_alone double")
+    """(load_id, column_name, auc_full, auc_without, auc_alone): areas under the curve on the rows not trained on, mean of both folds, for loads with a predecessor.
+
+    Ties count half; a fold that lacks one of the loads gives 0.5.
+    """
+    weighted = cells(rows, loads)
+    other = 1 - F.col("fold")
+    scored = weighted.join(train(weighted), "load_id").select("load_id", "fold", "label", "n", F.posexplode(F.array(*(F.round(_score(m, other), 9) for m in range(len(MODELS))))).alias("m", "score"))
+    by = scored.groupBy("load_id", "fold", "m", "score").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
+    # Scores of a load and model are as many as its bucket combinations at most.
+    below = F.coalesce(F.sum("b").over(Window.partitionBy("load_id", "fold", "m").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    areas = by.withColumn("won", F.col("a") * (below + F.col("b") / 2)).groupBy("load_id", "fold", "m").agg((F.sum("won") / F.nullif(F.sum("a").cast("double") * F.sum("b"), F.lit(0.0))).alias("auc"))
+    mean = areas.groupBy("load_id", "m").agg((F.sum(F.coalesce("auc", F.lit(0.5)) - 0.5) / 2 + 0.5).alias("auc"))
+    wide = mean.groupBy("load_id").agg(F.map_from_entries(F.collect_list(F.struct("m", "auc"))).alias("auc"))
+    k, auc = len(COLUMNS), F.col("auc")
+    named = F.array(*(F.struct(F.lit(c).alias("column_name"), auc[0].alias("auc_full"), auc[1 + i].alias("auc_without"), auc[1 + k + i].alias("auc_alone")) for i, c in enumerate(COLUMNS)))
+    return wide.select("load_id", F.explode(named).alias("x")).select("load_id", "x.*")
 
 
 def compare_loads(rows: DataFrame, loads: DataFrame) -> DataFrame:
     """Per load and column: exact aggregates, those of the load before (null without one) and the classifiers' measures."""
-    counts = value_counts(rows)
+    counts = cut(value_counts(rows))
     stats = base(counts)
     links = loads.select("load_id", "prev_load_id").distinct()
     before = stats.select(F.col("load_id").alias("prev_load_id"), "column_name", *(F.col(c).alias(f"prev_{c}") for c in ("n_rows", "n_null", "n_valid", "n_distinct")))
     return (
         stats.join(links, "load_id")
         .join(before, ["prev_load_id", "column_name"], "left")
-        .join(column_models(counts, stats, loads), ["load_id", "column_name"], "left")
+        .join(shifts(counts, stats, loads), ["load_id", "column_name"], "left")
         .join(discrimination(rows, loads), ["load_id", "column_name"], "left")
     )
 
@@ -164,18 +167,21 @@ def compare_loads(rows: DataFrame, loads: DataFrame) -> DataFrame:
 def findings(report: DataFrame) -> DataFrame:
     """(load_id, column_name, finding) from :func:`compare_loads`.
 
-    ``nulls`` and ``shift`` come from the columns whose classifier tells the loads apart well enough: a null share
-    that differs by d, or a total variation of d, forces a training accuracy of at least (1 + d) / 2. The exact
-    share is then compared in whole numbers.
+    ``nulls`` and ``shift`` come from the columns that the classifiers propose. A null share that differs by d is a total variation of d, and the best
+    discrimination of two loads that far apart is at least (1 + d) / 2; of a total variation d among valid values, with valid shares p and q, at least half of
+    d times the lesser share is one of all values. A column is proposed if its own discrimination, or what the full model loses without it, is at least half as far above chance, give or take ERRORS
+    standard errors of the area under the curve, so small loads are mostly proposed and large ones hardly without reason. The exact
+    share is then compared in whole numbers. A column without a discrimination is not proposed.
     """
     c = F.col
     wide = lambda x: c(x).cast("decimal(19,0)")
-    seen = F.greatest(c("accuracy"), c("auc_alone"))
-    seen_valid = F.greatest(c("accuracy_valid"), c("auc_alone"))
-    told = lambda x, percent: x >= F.lit(0.5 + percent / 200 - 1e-6)
+    a, b = c("n_rows").cast("double"), c("prev_n_rows").cast("double")
+    seen = F.greatest(c("auc_alone"), 0.5 + c("auc_full") - c("auc_without")) + ERRORS * F.sqrt((a + b + 1) / (12 * a * b))
+    told = lambda effect: F.coalesce(seen >= 0.5 + effect / 4, F.lit(False))
+    share = F.least(c("n_valid") / a, c("prev_n_valid") / b) / 2
     pattern = (c("n_rows") > c("n_null")) & (c("n_invalid") * 100 >= INVALID_PERCENT * (c("n_rows") - c("n_null")))
-    nulls = told(seen, NULLS_PERCENT) & (F.abs(wide("n_null") * wide("prev_n_rows") - wide("prev_n_null") * wide("n_rows")) * 100 >= wide("n_rows") * wide("prev_n_rows") * NULLS_PERCENT)
-    shift = told(seen_valid, SHIFT_PERCENT) & (c("n_valid") > 0) & (c("prev_n_valid") > 0) & (c("shift_rows") * 50 >= wide("n_valid") * wide("prev_n_valid") * SHIFT_PERCENT)
+    nulls = told(F.lit(NULLS_PERCENT / 100)) & (F.abs(wide("n_null") * wide("prev_n_rows") - wide("prev_n_null") * wide("n_rows")) * 100 >= wide("n_rows") * wide("prev_n_rows") * NULLS_PERCENT)
+    shift = told(share * (SHIFT_PERCENT / 100)) & (c("n_valid") > 0) & (c("prev_n_valid") > 0) & (c("shift_rows") * 50 >= wide("n_valid") * wide("prev_n_valid") * SHIFT_PERCENT)
     distinct = (c("n_distinct") > 2 * c("prev_n_distinct")) | (2 * c("n_distinct") < c("prev_n_distinct"))
     named = F.array(*(F.when(rule, F.lit(name)) for name, rule in (("pattern", pattern), ("nulls", nulls), ("shift", shift), ("distinct", distinct))))
     return report.select("load_id", "column_name", F.explode(F.array_compact(named)).alias("finding"))

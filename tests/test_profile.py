@@ -1,5 +1,5 @@
 import numpy as np
-import pandas as pd
+from pyspark.sql import functions as F
 
 from sieveline.operators import profile as P
 from tests.helpers import clashing, rows
@@ -36,20 +36,41 @@ def test_empty(spark):
     assert P.profile(rows(spark).limit(0)).collect() == []
 
 
-def test_training_accuracy_is_tied_to_the_distance(spark):
+def test_exact_distance(spark):
     df = rows(spark, *[{"load_id": 1, "difficulty": d} for d in ["easy"] * 8 + ["hard"] * 2], *[{"load_id": 2, "difficulty": d} for d in ["easy"] * 4 + ["medium"] * 6])
     counts = P.value_counts(df)
-    got = P.column_models(counts, P.base(counts), loads(spark, (2, 1))).where("column_name = 'difficulty'").first()
-    assert abs(got.accuracy - (1 + 0.6) / 2) < 1e-12
+    got = P.shifts(counts, P.base(counts), loads(spark, (2, 1))).where("column_name = 'difficulty'").first()
     assert got.shift_rows == 2 * 60
 
 
-def test_classifier_tells_shifted_loads_apart_and_names_the_column():
-    rng = np.random.default_rng(0)
-    frames = []
-    for label, p in ((0, 0.1), (1, 0.6)):
-        d = (rng.random(4000) < p).astype(int)
-        frames.append(pd.DataFrame({"load_id": 2, "fold": rng.integers(0, 2, 4000), "difficulty": d, "split": rng.integers(0, 5, 4000), "source": rng.integers(0, 30, 4000), "n": 1, "label": label}))
-    got = P._cross_fitted(pd.concat(frames)).set_index("column_name")
-    assert got.auc_full.iloc[0] > 0.7 and got.auc_without["difficulty"] < 0.55
-    assert got.auc_alone["difficulty"] > 0.7 and abs(got.auc_alone["source"] - 0.5) < 0.05
+def shifted(spark):
+    n = 3000
+    value = lambda names, r: F.element_at(F.array(*map(F.lit, names)), (r * len(names)).cast("int") + 1)
+    made = spark.range(2 * n).withColumn("load_id", F.when(F.col("id") < n, 1).otherwise(2).cast("long"))
+    hard = F.rand(1) < F.when(F.col("load_id") == 1, 0.1).otherwise(0.6)
+    return made.select(F.col("id").alias("row_id"), "load_id", F.when(hard, "hard").otherwise("easy").alias("difficulty"), F.when(F.rand(4) > 0.2 * (F.col("load_id") - 1), value(P.TUNING, F.rand(2))).alias("split"), value([f"s-{k}" for k in range(30)], F.rand(3)).alias("source"))
+
+
+def test_classifiers_tell_shifted_loads_apart_and_name_the_column(spark):
+    got = {r.column_name: r for r in P.discrimination(shifted(spark), loads(spark, (2, 1), (1, None))).collect()}
+    assert len(got) == 3 and got["difficulty"].auc_full > 0.75 and got["difficulty"].auc_without < 0.65
+    assert abs(got["difficulty"].auc_alone - 0.75) < 0.03 and 0.55 < got["split"].auc_alone < 0.65 and abs(got["source"].auc_alone - 0.5) < 0.04
+
+
+def test_descent_finds_the_log_odds(spark):
+    """A model of one column separates by value: its coefficients approach the log of the two shares' ratio."""
+    df = shifted(spark)
+    theta = P.train(P.cells(df, loads(spark, (2, 1)))).first().theta
+    bucket = df.select((1 + F.pmod(F.xxhash64("difficulty"), F.lit(P.BUCKETS["difficulty"] - 1))).alias("b"), "difficulty").distinct().collect()
+    at = {r.difficulty: theta[(4 * 2) * P._WIDTH + r.b] for r in bucket}
+    assert P.MODELS[4] == ("difficulty",) and abs(at["hard"] - np.log(0.6 / 0.1)) < 0.25 and abs(at["easy"] - np.log(0.4 / 0.9)) < 0.25
+
+
+def test_findings_need_the_classifier(spark, monkeypatch):
+    df, l = shifted(spark), loads(spark, (2, 1))
+    assert found(df, l) == [(2, "difficulty", "shift"), (2, "split", "nulls")]
+    blind = P.discrimination(df, l).select("load_id", "column_name", *(F.lit(0.5).alias(x) for x in ("auc_full", "auc_without", "auc_alone")))
+    monkeypatch.setattr(P, "discrimination", lambda *_: blind)
+    assert found(df, l) == []
+    monkeypatch.setattr(P, "discrimination", lambda *_: blind.limit(0))
+    assert found(df, l) == []
