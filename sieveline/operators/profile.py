@@ -33,7 +33,7 @@ SHIFT_PERCENT = 25
 #: Hash buckets of the classifier over all columns; bucket 0 is null.
 BUCKETS = {"difficulty": 64, "split": 64, "source": 256}
 #: Steps of the descent, the ridge, and the standard errors by which a discrimination may fall short by chance.
-STEPS, RIDGE, ERRORS = 6, 1e-4, 3.0
+STEPS, RIDGE, ERRORS = 4, 1e-4, 3.0
 
 
 def valid(column: Column, value: Column) -> Column:
@@ -113,19 +113,26 @@ def cells(rows: DataFrame, loads: DataFrame) -> DataFrame:
 def train(cells: DataFrame) -> DataFrame:
     """(load_id, theta): the coefficients of all models of a load, those of either fold's rows."""
     theta = cut(cells.select("load_id").distinct().withColumn("theta", F.array_repeat(F.lit(0.0), len(MODELS) * 2 * _WIDTH)))
-    fold = F.col("fold")
+    # Of each column the models that have it; a row gives one gradient of all of them to the bucket of each of its values.
+    having = [[m for m, cs in enumerate(MODELS) if c in cs] for c in COLUMNS]
+    rank = [[ms.index(m) if m in ms else None for m in range(len(MODELS))] for ms in having]
+    fold, many = F.col("fold"), range(len(having[0]))
     for _ in range(STEPS):
         at = cells.join(theta, "load_id").select("load_id", "label", "fold", "share", *COLUMNS, *((1 / (1 + F.exp(-_score(m, fold)))).alias(f"p{m}") for m in range(len(MODELS))))
-        part = lambda m, c: F.struct(_place(m, fold, c).alias("i"), (F.col("share") * (F.col("label") - F.col(f"p{m}"))).alias("g"), (F.col("share") * F.col(f"p{m}") * (1 - F.col(f"p{m}"))).alias("h"))
-        parts = at.select("load_id", F.explode(F.array(*(part(m, c) for m, cs in enumerate(MODELS) for c in cs))).alias("x"))
-        sums = parts.groupBy("load_id", "x.i").agg(F.sum("x.g").alias("g"), F.sum("x.h").alias("h"))
+        parts = at.select("load_id", "fold", "label", "share", F.explode(F.array(*(F.struct((F.lit(_STARTS[c]) + F.col(c)).alias("w"), *(F.col(f"p{m}").alias(f"q{k}") for k, m in enumerate(ms))) for c, ms in zip(COLUMNS, having)))).alias("x"))
+        q = lambda k: F.col(f"x.q{k}")
+        sums = parts.groupBy("load_id", (fold * _WIDTH + F.col("x.w")).alias("i")).agg(*(F.sum(F.col("share") * (F.col("label") - q(k))).alias(f"g{k}") for k in many), *(F.sum(F.col("share") * q(k) * (1 - q(k))).alias(f"h{k}") for k in many))
         # One coefficient array of fixed length for each load.
-        steps = sums.groupBy("load_id").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("g", "h")))).alias("m"))
+        steps = sums.groupBy("load_id").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct(F.array(*(f"g{k}" for k in many)).alias("g"), F.array(*(f"h{k}" for k in many)).alias("h"))))).alias("m"))
+        ranks = F.array(*(F.array(*(F.lit(r).cast("int") for r in rs)) for rs in rank))
         sizes = F.array(*(F.lit(float(len(cs))) for cs in MODELS))
 
         def moved(x: Column, i: Column) -> Column:
-            s = F.col("m")[i]
-            return x + (F.coalesce(s["g"], F.lit(0.0)) - RIDGE * x) / ((F.coalesce(s["h"], F.lit(0.0)) + RIDGE) * F.get(sizes, F.floor(i / (2 * _WIDTH)).cast("int")))
+            model, w = F.floor(i / (2 * _WIDTH)).cast("int"), i % _WIDTH
+            column = sum(((w >= _STARTS[c]).cast("int") for c in COLUMNS[1:]), F.lit(0))
+            s, k = F.col("m")[i % (2 * _WIDTH)], F.get(F.get(ranks, column), model)
+            step = (F.get(s["g"], k) - RIDGE * x) / ((F.get(s["h"], k) + RIDGE) * F.get(sizes, model))
+            return F.coalesce(x + step, x)
 
         theta = cut(theta.join(steps, "load_id").select("load_id", F.transform("theta", moved).alias("theta")))
     return theta
