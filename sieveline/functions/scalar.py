@@ -75,15 +75,35 @@ def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(_canonical)
 
 
-def release(version: Column) -> Column:
-    """Numbers of a version's release part, without trailing zeros."""
-    numbers = F.transform(F.split(F.regexp_extract(version, r"^v?(\d+(?:\.\d+)*)", 1), r"\."), lambda x: x.cast("int"))
+_VERSION = (
+    r"(?i)^\s*v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[-_.]?(alpha|beta|preview|pre|rc|a|b|c)[-_.]?(\d*))?(?:[-_.]?(post|rev|r)[-_.]?(\d*)|-(\d+))?(?:[-_.]?(dev)[-_.]?(\d*))?(?:\+[a-z0-9._-]+)?\s*$"
+)
+
+
+def version_key(version: Column) -> Column:
+    """What orders versions: epoch, release without trailing zeros, pre-release before release before post-release, development releases first; null for what is no version or has a number of over 38 digits."""
+    part = lambda k: F.regexp_extract(version, _VERSION, k)
+    number = lambda text: F.when(text == "", F.lit(0).cast("decimal(38,0)")).otherwise(text.try_cast("decimal(38,0)"))
+    numbers = F.transform(F.split(part(2), r"\."), lambda x: x.try_cast("decimal(38,0)"))
     last = F.array_max(F.transform(numbers, lambda x, i: F.when(x != 0, i + 1).otherwise(0)))
-    return F.slice(numbers, F.lit(1), F.coalesce(last, F.lit(0)))
+    release = F.slice(numbers, F.lit(1), F.coalesce(last, F.lit(0)))
+    kind = F.lower(part(3))
+    dev, post = part(8) != "", (part(5) != "") | (part(7) != "")
+    # A development release of a version comes before its pre-releases.
+    stage = F.when(kind.isin("a", "alpha"), 1).when(kind.isin("b", "beta"), 2).when(kind != "", 3).when(dev & ~post, 0).otherwise(4)
+    key = F.struct(
+        number(part(1)).alias("epoch"), release.alias("release"), stage.alias("stage"), number(part(4)).alias("pre"), F.when(post, number(F.concat(part(6), part(7)))).otherwise(-1).alias("post"),
+        F.when(dev, 0).otherwise(1).alias("final"), number(part(9)).alias("dev"),
+    )
+    return F.when(version.rlike(_VERSION) & ~F.exists(numbers, lambda x: x.isNull()), key)
 
 
 def version_guard(pins, installed):
-    """(name, action): install what is missing, keep what is as pinned, keep-newer what is above, change what is below."""
+    """(name, action): install what is missing, keep what is as pinned, keep-newer what is above, change what is below.
+
+    What is no version can only be equal as text.
+    """
     j = pins.join(installed.withColumnRenamed("version", "have"), "name", "left")
-    want, have = release(F.col("version")), release(F.col("have"))
-    return j.select("name", F.when(F.col("have").isNull(), "install").when(want == have, "keep").when(have > want, "keep-newer").otherwise("change").alias("action"))
+    want, have = version_key(F.col("version")), version_key(F.col("have"))
+    same = F.coalesce(want == have, F.col("version") == F.col("have"))
+    return j.select("name", F.when(F.col("have").isNull(), "install").when(same, "keep").when(have > want, "keep-newer").otherwise("change").alias("action"))

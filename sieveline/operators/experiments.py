@@ -239,23 +239,30 @@ def worst_case_requests(calls: DataFrame) -> DataFrame:
     return calls.withColumn("worst_case", (F.lit(1) + loop + client + extra) * legs)
 
 
-def readiness(pillars: DataFrame, caps: DataFrame) -> DataFrame:
+def readiness(pillars: DataFrame, caps: DataFrame, asks: DataFrame | None = None) -> DataFrame:
     """Overall score, band and action of each project.
 
-    ``pillars``: project_id, dataset, evaluation, agent in 0..100, null where unmeasured (then left out of the weights).
+    ``pillars``: project_id, dataset, evaluation, agent in 0..100, null where unmeasured (then left out of the weights); a pillar named in an optional
+    column ``withheld`` (array<string>) was asked for and not given: it keeps its weight and earns nothing.
     ``caps``: project_id, condition, ceiling, blocks, asks. The lowest ceiling bounds the weighted score; the action is the condition of
-    the lowest blocking cap, else of the lowest asking one, else ``proceed``.
+    the lowest blocking cap, else of the lowest asking one, else what else is asked, else ``proceed``.
+    ``asks``: project_id, action (may be null): reasons beside the caps, as thin evidence or unread answers, that hold the top two bands at WORKABLE.
     """
     from sieveline.functions.vocabulary import BANDS, PILLAR_WEIGHTS
 
-    weight = sum((F.when(F.col(p).isNotNull(), w).otherwise(0) for p, w in PILLAR_WEIGHTS.items()), F.lit(0))
-    total = sum((F.coalesce(F.col(p) * w, F.lit(0)) for p, w in PILLAR_WEIGHTS.items()), F.lit(0))
+    kept = F.col("withheld") if "withheld" in pillars.columns else F.array().cast("array<string>")
+    withheld = lambda p: F.coalesce(F.array_contains(kept, p), F.lit(False))
+    weight = sum((F.when(F.col(p).isNotNull() | withheld(p), w).otherwise(0) for p, w in PILLAR_WEIGHTS.items()), F.lit(0))
+    total = sum((F.when(withheld(p), 0).otherwise(F.coalesce(F.col(p) * w, F.lit(0))) for p, w in PILLAR_WEIGHTS.items()), F.lit(0))
     c = caps.groupBy("project_id").agg(F.min("ceiling").alias("ceiling"), F.min(F.when(F.col("blocks"), F.struct("ceiling", "condition"))).alias("b"), F.min(F.when(F.col("asks"), F.struct("ceiling", "condition"))).alias("a"))
-    j = pillars.join(c, "project_id", "left").withColumn("overall", F.least(F.floor(total / F.when(weight > 0, weight)), F.coalesce("ceiling", F.lit(100))).cast("long"))
+    held = (asks if asks is not None else caps.select("project_id", F.lit(None).cast("string").alias("action")).limit(0)).groupBy("project_id").agg(F.lit(True).alias("held"), F.min("action").alias("action"))
+    overall = F.least(F.floor(total / F.when(weight > 0, weight)), F.coalesce("ceiling", F.lit(100))).cast("long")
+    j = pillars.join(c, "project_id", "left").join(held, "project_id", "left").withColumn("overall", overall)
     band = None
     for low, name in BANDS:
         band = F.when(F.col("overall") >= low, name) if band is None else band.when(F.col("overall") >= low, name)
-    return j.select("project_id", "overall", band.alias("band"), F.when(F.col("b").isNotNull(), "BLOCKED").otherwise("OK").alias("status"), F.coalesce("b.condition", "a.condition", F.lit("proceed")).alias("recommended_action"))
+    shown = F.when(F.coalesce("held", F.lit(False)) & band.isin("EXCELLENT", "STRONG"), "WORKABLE").otherwise(band)
+    return j.select("project_id", "overall", shown.alias("band"), F.when(F.col("b").isNotNull(), "BLOCKED").otherwise("OK").alias("status"), F.coalesce("b.condition", "a.condition", "action", F.lit("proceed")).alias("recommended_action"))
 
 
 def wilson(trials: DataFrame, passing: float = 0.5, z: float = 1.96) -> DataFrame:

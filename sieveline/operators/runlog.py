@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import vocabulary as V
 
+#: What a detail may not carry, and how it is told.
+CARRIERS = (
+    ("path", r"(?:^|[\s\"'(=:,])(?:(?:/[\w.+@-]+){2,}|~/\w|[A-Za-z]:\\\w)"),
+    ("credential", r"\b(?:(?:sk|pk|uk|gh[a-z]|github_pat|xox[a-z])[-_]|AKIA|eyJ)[\w-]{8,}"),
+    ("email", r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"),
+    ("identifier", r"(?i)(?<![0-9a-z])(?:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{16,}|(?=[a-z]*[0-9])[0-9a-z]{20,})(?![0-9a-z])"),
+    ("url", r"(?i)\b[a-z][a-z0-9+.-]*://[^\s/]"),
+    ("host", r"(?i)(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|(?<![\w.-])(?:[a-z0-9-]+\.)+(?:com|net|org|io|ai|dev)(?![\w-])"),
+    ("quotation", r"(?<![\p{L}\p{N}])([\"'])(?:(?!\1).){25,}\1(?![\p{L}\p{N}])|“[^”]{25,}”|‘[^’]{25,}’|«[^»]{25,}»"),
+)
 FIELDS = ("log_id", "trial_id", "ts", "event_name", "stage", "event_class", "state", "detail")
 
 
@@ -48,7 +58,7 @@ def violations(log: DataFrame) -> DataFrame:
 def leaks(log: DataFrame) -> DataFrame:
     """(log_id, leak): what a detail of proper length carries and may not."""
     ok = F.length("detail") <= V.RUN_LOG_DETAIL_LIMIT
-    found = F.array_compact(F.array(*(F.when(F.col("detail").rlike(p), F.lit(n)) for n, p in V.LEAKS)))
+    found = F.array_compact(F.array(*(F.when(F.col("detail").rlike(p), F.lit(n)) for n, p in CARRIERS)))
     return lines(log).where(ok).select("log_id", F.explode(found).alias("leak"))
 
 

@@ -74,12 +74,15 @@ def disclosure_scan(spark, d):
     return disclosure.disclosed(table(spark, d, "run_log"), "log_id", "detail", digests)
 
 
-_PINS = (("a", "1.2.0", "1.2"), ("b", "2.0", "1.9.9"), ("c", "1.9", "1.10"), ("e", "3.1", None), ("f", "2.0.1", "2.0.1"))
+_PINS = (
+    ("a", "1.2.0", "1.2", "keep"), ("b", "2.0", "1.9.9", "change"), ("c", "1.9", "1.10", "keep-newer"), ("e", "3.1", None, "install"), ("f", "2.0.1", "2.0.1", "keep"), ("g", "2.0", "2.0rc1", "change"), ("h", "1.0", "1!0.5", "keep-newer"),
+    ("i", "1.0", "main", "change"), ("j", "", "1.0", "change"), ("k", "1.0.dev3", "1.0a1", "keep-newer"), ("l", "1.0", "1.0.post1", "keep-newer"), ("m", "main", "main", "keep"), ("n", "1.0rc2", "1.0RC-2", "keep"), ("o", "99999999999999999999", "3", "change"),
+)
 
 
 def version_guard(spark, d):
     pins = spark.createDataFrame([p[:2] for p in _PINS], "name string, version string")
-    have = spark.createDataFrame([(n, v) for n, _, v in _PINS if v], "name string, version string")
+    have = spark.createDataFrame([(n, v) for n, _, v, _ in _PINS if v], "name string, version string")
     return scalar.version_guard(pins, have)
 
 
@@ -99,6 +102,6 @@ SQL = {
     "secret_fingerprints": f"SELECT row_id, substr(sha256({strip('id')}), 1, 8) AS fingerprint, substr(sha256(id), 1, 16) AS digest FROM evaluation_rows WHERE id IS NOT NULL",
     "fence_round_trip": "SELECT row_id FROM evaluation_rows WHERE false",
     "disclosure_scan": " UNION ALL ".join(f"SELECT DISTINCT log_id, sha256('{w}') AS digest FROM run_log WHERE contains(detail, '{w}')" for w in SECRETS),
-    "version_guard": "SELECT * FROM (VALUES ('a', 'keep'), ('b', 'change'), ('c', 'keep-newer'), ('e', 'install'), ('f', 'keep')) t(name, action)",
+    "version_guard": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{a}')" for n, _, _, a in _PINS) + ") t(name, action)",
     "runlog_stream_state": EXPERIMENTS["runlog_state_rule"],
 }

@@ -89,3 +89,13 @@ def requirements(spark: SparkSession, path: str) -> DataFrame:
     """(name, version) of exact pins."""
     m = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*==\s*([^\s;#]+)"
     return spark.read.text(path).where(F.col("value").rlike(m)).select(F.lower(F.regexp_replace(F.regexp_extract("value", m, 1), "[._]", "-")).alias("name"), F.regexp_extract("value", m, 2).alias("version"))
+
+
+def document(spark: SparkSession, value: str) -> DataFrame:
+    """(row): the JSON of a file if there is one of that name, else of the text itself; what is no JSON fails the job. An array gives a row per item."""
+    at = None if value.lstrip()[:1] in ("{", "[") else spark.sparkContext._jvm.org.apache.hadoop.fs.Path(value)
+    there = at is not None and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    text = spark.read.text(value, wholetext=True) if there else spark.createDataFrame([(value,)], "value string")
+    v = F.parse_json("value")
+    listed = F.schema_of_variant(v).startswith("ARRAY")
+    return text.select(F.explode(F.when(listed, v.cast("array<variant>")).otherwise(F.array(v))).alias("row"))

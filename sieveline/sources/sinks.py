@@ -30,3 +30,15 @@ def read_transfer(spark: SparkSession, path: str) -> DataFrame:
     ok = F.coalesce((F.col("version") == VERSION) & (F.col("fingerprint") == F.sha2(body, 256)), F.lit(False))
     single = got.groupBy("project_id").agg((F.count("*") == 1).alias("single"))
     return got.join(single, "project_id").select("project_id", "config", "mean_score", (ok & F.col("single")).alias("accepted"))
+
+
+_BASELINE = "project_id int, trial_id long, n_scored long, n_failed long, failure_types string, mean_score double"
+
+
+def write_baseline(sweep: DataFrame, path: str) -> None:
+    """The sweep of every configuration, by project, for later runs to compare with."""
+    sweep.write.mode("errorifexists").partitionBy("project_id").json(path)
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_BASELINE).json(path)

@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
-from sieveline.plans import dataset_plans, experiment_plans, quality_plans, source_plans, sqlsig_plans, surface_plans
+from sieveline.plans import dataset_plans, experiment_plans, quality_plans, run_plans, source_plans, sqlsig_plans, surface_plans
 from tests.helpers import DATA, same_as_sql
 
-MODULES = (quality_plans, dataset_plans, experiment_plans, sqlsig_plans, surface_plans, source_plans)
+MODULES = (quality_plans, dataset_plans, experiment_plans, sqlsig_plans, surface_plans, source_plans, run_plans)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 

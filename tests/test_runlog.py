@@ -19,7 +19,7 @@ def test_rules(spark):
     assert R.violations(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize(("detail", "leak"), [("wrote /home/a/b", "an absolute path"), ("and/or 3/5", None), ("sk-abcdefgh1234", "a credential"), ("ask a.b@c.org", "an email address"), ("id 0123456789abcdef01", "a session or request id"), ("see http://x", "a URL"), ("at 10.0.0.1", "a host or address"), ('said "this is a rather long quoted row"', "quoted content"), ("the user's approval before the provider's trial", None)])
+@pytest.mark.parametrize(("detail", "leak"), [("wrote /home/a/b", "path"), ("and/or 3/5", None), ("sk-abcdefgh1234", "credential"), ("ask a.b@c.org", "email"), ("id 0123456789abcdef01", "identifier"), ("see http://x", "url"), ("at 10.0.0.1", "host"), ('said "this is a rather long quoted row"', "quotation"), ("the user's approval before the provider's trial", None)])
 def test_leaks(spark, detail, leak):
     got = {r.leak for r in R.leaks(log(spark, {"detail": detail})).collect()}
     assert leak in got if leak else not got
