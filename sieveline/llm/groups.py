@@ -43,6 +43,7 @@ def contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Weights may tie: (w, a, b) orders edges totally, as Borůvka's algorithm needs.
     """
+    # Merged, not broadcast: what rounds broadcast would pile up on the driver.
     spark = edges.sparkSession
     live = cut(edges.select("a", "b", "w", F.col("a").alias("u"), F.col("b").alias("v")))
     labels = cut(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
@@ -53,19 +54,16 @@ def contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         forest = forest.unionByName(least.select("a", "b", "w").distinct())
         # Two components that chose the same edge point at each other; the smaller one becomes the root.
         other = least.select(F.col("u").alias("v"), F.col("v").alias("back"))
-        parent = cut(least.select("u", "v").join(other, "v", "left").select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("p")))
+        parent = cut(least.select("u", "v").join(other.hint("merge"), "v", "left").select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("p")))
         while True:
-            # Two jumps a job: each doubles how far a pointer reaches.
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            twice = parent.join(up, "p").select("u", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved"))
-            far = twice.select(F.col("u").alias("p"), F.col("p").alias("q"), F.col("moved").alias("on"))
-            nearer = cut(twice.join(far, "p").select("u", F.col("q").alias("p"), (F.col("moved") | F.col("on")).alias("moved")))
+            nearer = cut(parent.join(up.hint("merge"), "p").select("u", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
             parent = nearer.select("u", "p")
             if nearer.where("moved").isEmpty():
                 break
-        labels = cut(labels.join(parent.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+        labels = cut(labels.join(parent.select(F.col("u").alias("root"), "p").hint("merge"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
         left, right = parent.select("u", F.col("p").alias("nu")), parent.select(F.col("u").alias("v"), F.col("p").alias("nv"))
-        moved = live.join(left, "u").join(right, "v").where("nu <> nv")
+        moved = live.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where("nu <> nv")
         # Of parallel edges between two components only the least can be taken.
         low, high = F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")
         live = cut(moved.groupBy(low, high).agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.a", "e.b", "e.w", "u", "v"))
