@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PASSES = 8
+#: Digests that may be broadcast; beyond it both sides are shuffled.
+BROADCAST_DIGESTS = 100_000
 _LONG, _SHORT, _HEX = (re.compile(p, re.I) for p in (r"\\U([0-9a-f]{8})", r"\\u([0-9a-f]{4})", r"\\x([0-9a-f]{2})"))
 _POINT, _NAMED, _OCTAL = re.compile(r"\\u\{([0-9a-f]{1,6})\}", re.I), re.compile(r"\\N\{([^}]+)\}"), re.compile(r"\\([0-7]{1,3})")
 _CSS_POINT, _CSS = re.compile(r"\\(?:([0-9a-f]{6})|([0-9a-f]{1,5})(?:[ \t\r\n\f]|(?=[^0-9a-f]|$)))", re.I), re.compile(r"\\([^0-9a-f\r\n\f])", re.I)
@@ -71,7 +73,8 @@ def disclosed(texts: DataFrame, key: str, text: str, digests: DataFrame) -> Data
     """(key, digest) where a window of ``n_bytes`` bytes of a reading of the text has that SHA-256. ``digests``: (digest, n_bytes) of case-folded secrets.
 
     A text whose escapes nest deeper than is read has a row with a null digest. The lengths are few and end up in the plan; windows are hashed in
-    the JVM and leave a task only if their digest joins. Null and short texts have no window.
+    the JVM and leave a task only if their digest joins: the digests are broadcast, up to BROADCAST_DIGESTS of them, and never the windows,
+    whose number the planner can't know. Null and short texts have no window.
     """
     lengths = sorted(r.n_bytes for r in digests.select("n_bytes").distinct().limit(65).collect())
     if len(lengths) > 64:
@@ -96,5 +99,7 @@ def disclosed(texts: DataFrame, key: str, text: str, digests: DataFrame) -> Data
         return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.sha2(F.substring(raw, i, F.lit(k)), 256)))
 
     windows = F.flatten(F.array_compact(F.array(*map(hashed, lengths)))) if lengths else F.array().cast("array<string>")
-    found = read.select(key, F.explode(windows).alias("digest")).join(digests.select("digest").distinct(), "digest").select(key, "digest")
+    wanted = digests.select("digest").distinct()
+    few = wanted.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    found = read.select(key, F.explode(windows).alias("digest")).join(wanted.hint("broadcast" if few else "merge"), "digest").select(key, "digest")
     return found.unionByName(read.where("deep").select(key, F.lit(None).cast("string").alias("digest"))).distinct()

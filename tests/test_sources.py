@@ -89,3 +89,14 @@ def test_whole_tables_of_the_sql_surface(spark, tmp_path):
     docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100_000)).write.parquet(str(tmp_path / "documents.parquet"))
     got = run("sql_order_nulls_whole", str(tmp_path)).collect()
     assert len(got) == 2 * docs.count() > 100 and got[-1].lang is None and got[0].lang == "en"
+
+
+def test_windows_are_never_broadcast(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a trainee"), (2, "none")], "k long, t string").write.parquet(str(tmp_path / "t"))
+    digests = spark.createDataFrame([(hashlib.sha256(b"trainee").hexdigest(), 7)], "digest string, n_bytes int")
+    for most, join in ((disclosure.BROADCAST_DIGESTS, "BuildRight"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(disclosure, "BROADCAST_DIGESTS", most)
+        found = disclosure.disclosed(spark.read.parquet(str(tmp_path / "t")), "k", "t", digests)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert join in plan and "BuildLeft" not in plan
+        assert [r.k for r in found.collect()] == [1]
