@@ -1,9 +1,13 @@
-"""One executed query for each construct that the SQL comparison reads. Catalyst plans them all; names in braces are tables."""
+"""One executed query for each construct that the SQL comparison reads; names in braces are tables.
+
+Catalyst plans them all but the recursion, which it would run as one job a level and break off after 100 levels.
+"""
 
 from __future__ import annotations
 
 import re
 
+from sieveline.operators import chains
 from sieveline.session import table
 
 #: name: statement, or (statement, its form for the comparing engine).
@@ -78,5 +82,9 @@ def _query(sql: str):
     return run
 
 
-QUERIES = {name: _query(s) for name, s in STATEMENTS.items()}
+def with_recursive(spark, d):
+    return chains.depths(table(spark, d, "loads"), "load_id", "prev_load_id")
+
+
+QUERIES = {name: _query(s) for name, s in STATEMENTS.items()} | {"sql_with_recursive": with_recursive}
 SQL = {name: _NAMES.sub(r"\1", s) for name, s in STATEMENTS.items()}

@@ -100,3 +100,10 @@ def test_windows_are_never_broadcast(spark, tmp_path, monkeypatch):
         plan = found._jdf.queryExecution().sparkPlan().toString()
         assert join in plan and "BuildLeft" not in plan
         assert [r.k for r in found.collect()] == [1]
+
+
+def test_chains_of_any_depth(spark, tmp_path):
+    links = [(i, i - 1 if i > 1 else None) for i in range(1, 251)] + [(300, 299), (310, 311), (311, 310), (320, 320), (250, 249), (400, None)]
+    spark.createDataFrame(links, "load_id long, prev_load_id long").write.parquet(str(tmp_path / "loads.parquet"))
+    got = sorted(map(tuple, surface_plans.QUERIES["sql_with_recursive"](spark, str(tmp_path)).collect()))
+    assert got == sorted([(i, i - 1) for i in range(1, 251)] + [(250, 249), (400, 0)])
