@@ -7,14 +7,24 @@ project form a dataset of their own where grouping keeps it. An empty table give
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.functions import text as X
 from sieveline.functions import vocabulary as V
-from sieveline.session import cut
+from sieveline.session import cut, ship, written
 
 KEY = "project_id"
+#: Bits of a run's hash that its count goes by, 16 MB at most; and those that are counted together.
+COUNTED_BITS, SLICE_BITS = 24, 13
+#: Classes whose keys may be broadcast; beyond it both sides are shuffled.
+BROADCAST_CLASSES = 200_000
 
 
 def first_non_empty(*columns: Column) -> Column:
@@ -85,26 +95,94 @@ def similar_classes(rows: DataFrame) -> DataFrame:
 def similar_pairs(rows: DataFrame, numerator: int = 7, denominator: int = 10, size: int = 3) -> DataFrame:
     """(project_id, class_a, class_b, shared, either): all pairs of classes with Jaccard of word runs of at least 7/10, exactly.
 
-    Prefix filter: of a class with n runs the n - floor(7 n / 10) + 1 rarest ones are joined (frequency, then run); two
-    classes over the threshold share one of them. Candidates are verified by counting shared runs, with a join on
-    (class, run). Classes without words are equal, hence one class; a class of fewer words than a run has one run.
+    Prefix filter: of a class with n runs the n - floor(7 n / 10) + 1 rarest ones are joined; two classes over the
+    threshold share one of them, whatever the order of runs, as long as it is the same for all. Here it is by a table of
+    counts of fixed size (then by run), so that runs need not be shuffled to learn how often they occur; a count may be too
+    high, which costs candidates and no pair, and a count of one is right. Candidates whose parity bits differ in more places than
+    so similar classes can differ in runs are dropped, the others are verified on their whole texts. Classes without words are
+    equal, hence one class; a class of fewer words than a run has one run that no other class has.
     """
+    ship(rows.sparkSession)
     keyed = usable(rows).select(KEY, "row_id", X.normal_text(F.col("input")).alias("t"))
-    classes = keyed.groupBy(KEY, "t").agg(F.min("row_id").alias("c"))
-    # Read five times below, and costly to make: written once to the shared folder.
-    runs = cut(classes.select(KEY, "c", F.explode(X.shingles(F.split("t", " "), size)).alias("r")).where("r <> ''").select(KEY, "c", F.xxhash64("r").alias("r")))
-    sizes = runs.groupBy("c").agg(F.count("*").alias("n"))
-    frequency = runs.groupBy(KEY, "r").agg(F.count("*").alias("f"))
-    ranked = runs.join(frequency.where("f > 1"), [KEY, "r"]).join(sizes, "c")
-    # Runs that occur once cannot be shared: they are the rarest, and only their number counts.
-    alone = runs.join(frequency.where("f = 1"), [KEY, "r"]).groupBy("c").agg(F.count("*").alias("single"))
-    w = Window.partitionBy("c").orderBy("f", "r")
-    prefix = ranked.join(alone, "c", "left").withColumn("k", F.row_number().over(w) + F.coalesce("single", F.lit(0))).where(F.expr(f"k <= n - ({numerator} * n) div {denominator} + 1")).select(KEY, "r", "c", "n")
+    # Read three times below: written once to the shared folder. Texts take a third of the space of their runs.
+    classes = written(keyed.where(F.col(KEY).isNotNull()).groupBy(KEY, "t").agg(F.min("row_id").alias("c")).where(F.size(F.split("t", " ")) >= size), "classes")
+    # Words are hashed in a step of their own: within the one below it would be done again for every run.
+    runs = classes.select(KEY, "c", F.transform(F.split("t", " "), lambda w: F.xxhash64(w)).alias("h")).select(KEY, "c", _runs(F.col("h"), size).alias("runs"))
+    counts = rows.sparkSession.sparkContext.broadcast(_run_counts(runs, classes.agg(F.sum(F.size(F.split("t", " ")))).first()[0] or 0))
+    prefix = runs.mapInArrow(_prefixes(counts, numerator, denominator), T.StructType([*runs.schema.fields[:2], *(T.StructField(n, T.LongType()) for n in ("r", "n", "low", "high"))]))
     a, b = prefix.alias("a"), prefix.alias("b")
-    fits = F.expr(f"a.c < b.c AND least(a.n, b.n) * {denominator} >= {numerator} * greatest(a.n, b.n)")
-    candidates = a.join(b, (F.col(f"a.{KEY}") == F.col(f"b.{KEY}")) & (F.col("a.r") == F.col("b.r")) & fits).select(F.col(f"a.{KEY}").alias(KEY), F.col("a.c").alias("x"), F.col("b.c").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct()
-    common = candidates.join(runs.select(F.col("c").alias("x"), "r"), "x").join(runs.select(F.col("c").alias("y"), "r"), ["y", "r"]).groupBy(KEY, "x", "y", "nx", "ny").agg(F.count("*").alias("shared"))
-    return common.withColumn("either", F.col("nx") + F.col("ny") - F.col("shared")).where(f"shared * {denominator} >= {numerator} * either").select(KEY, F.col("x").alias("class_a"), F.col("y").alias("class_b"), "shared", "either")
+    # Half of the sum of sizes less the differing runs are shared, and each differing bit is at least one such run.
+    fits = F.expr(f"""a.c < b.c AND least(a.n, b.n) * {denominator} >= {numerator} * greatest(a.n, b.n)
+      AND (bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high)) * {denominator + numerator} <= (a.n + b.n) * {denominator - numerator}""")
+    # The planner can't know how many runs a text has: nothing here is broadcast unless it was counted.
+    joined = a.join(b.hint("merge"), (F.col(f"a.{KEY}") == F.col(f"b.{KEY}")) & (F.col("a.r") == F.col("b.r")) & fits)
+    candidates = cut(joined.select(F.col("a.c").alias("x"), F.col("b.c").alias("y")).distinct())
+    asked = candidates.select(F.explode(F.array("x", "y")).alias("c")).distinct()
+    few = asked.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    texts = runs.join(asked.hint("broadcast" if few else "merge"), "c", "left_semi")
+    of = lambda c: texts.select(F.col(KEY).alias(f"p{c}"), F.col("c").alias(c), F.col("runs").alias(f"runs_{c}")).hint("merge")
+    common = candidates.join(of("x"), "x").join(of("y"), "y").where("px = py").withColumn("shared", F.size(F.array_intersect("runs_x", "runs_y")).cast("long"))
+    return common.withColumn("either", F.size("runs_x") + F.size("runs_y") - F.col("shared")).where(f"shared * {denominator} >= {numerator} * either").select(F.col("px").alias(KEY), F.col("x").alias("class_a"), F.col("y").alias("class_b"), "shared", "either")
+
+
+def _runs(words: Column, size: int) -> Column:
+    """Distinct hashes of the runs of ``size`` hashed words of a list that has one."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size)))))
+
+
+def _run_counts(runs: DataFrame, n: int) -> np.ndarray:
+    """How often runs occur, by their last bits: at most COUNTED_BITS of them, a byte each; from 128 on the byte grows with the logarithm.
+
+    Runs of other datasets count along. Counts are added up in slices on the executors; the slices alone come to the driver, at most 16 MB.
+    """
+    bits = min(COUNTED_BITS, max(SLICE_BITS, (4 * n).bit_length()))
+    mask, width = (1 << bits) - 1, 1 << SLICE_BITS
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, times = np.unique(batch.column(0).flatten().to_numpy() & mask, return_counts=True)
+            slices, begin = np.unique(at >> SLICE_BITS, return_index=True)
+            ends = [*begin[1:].tolist(), len(at)]
+            parts = [((at[i:j] & (width - 1)).astype(np.uint16).tobytes(), times[i:j].astype(np.uint32).tobytes()) for i, j in zip(begin.tolist(), ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array([p for p, _ in parts], pa.binary()), pa.array([t for _, t in parts], pa.binary())], names=["slice", "at", "times"])
+
+    def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.int64)
+        for batch in batches:
+            for at, times in zip(batch.column("at").to_pylist(), batch.column("times").to_pylist()):
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(times, np.uint32)
+        codes = np.where(total < 128, total, np.minimum(255, 128 + 8 * np.log2(np.maximum(total, 128) / 128))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([codes.tobytes()], pa.binary())], names=["slice", "codes"])
+
+    slices = runs.select("runs").mapInArrow(counted, "slice long, at binary, times binary").groupBy("slice").applyInArrow(added, "slice long, codes binary")
+    out = np.zeros(mask + 1, np.uint8)
+    for r in slices.collect():
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["codes"], np.uint8)
+    return out
+
+
+def _prefixes(counts: Broadcast, numerator: int, denominator: int):
+    """Of each class the rarest runs that others may have, with its number of runs and 128 parity bits of all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        for batch in batches:
+            lists = batch.column(2)
+            n = np.diff(lists.offsets.to_numpy())
+            begin = np.cumsum(n) - n
+            r, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+            f = table[r & (len(table) - 1)]
+            order = np.lexsort((r, f, row))
+            at = np.arange(len(r)) - begin[row]
+            kept = order[(at < (n - numerator * n // denominator + 1)[row]) & (f[order] > 1)]
+            place = r >> 40 & 127
+            bit = np.left_shift(np.int64(1), place & 63)
+            low, high = (np.bitwise_xor.reduceat(np.where(place >> 6 == k, bit, 0), begin) if len(r) else r for k in (0, 1))
+            own = row[kept]
+            ids = batch.select([0, 1]).take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([*ids.columns, *(pa.array(x, pa.int64()) for x in (r[kept], n[own], low[own], high[own]))], names=[*ids.schema.names, "r", "n", "low", "high"])
+
+    return run
 
 
 def split_overlap(rows: DataFrame) -> DataFrame:

@@ -33,6 +33,23 @@ def test_similar_pairs_against_all_pairs(spark):
         assert {(r.class_id, r.row_id) for r in D.similar_classes(df).collect()} == {(first[t], i) for i, t in enumerate(texts, 1)}
 
 
+def test_similar_pairs_broadcast_nothing_uncounted(spark, tmp_path, monkeypatch):
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words[: 20 + k]) for k in range(20)] + [" ".join(words[k:]) for k in range(20)]
+    rows(spark, *({"input": t, "output": "x"} for t in texts)).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    runs = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in reversed(list(enumerate(texts, 1))) if t not in texts[: i - 1]}
+    expected = {(a, b) for a, b in itertools.combinations(sorted(runs), 2) if len(runs[a] & runs[b]) * 10 >= 7 * len(runs[a] | runs[b])}
+    # A table of 16 counts, in which every run meets others, orders them otherwise and loses no pair.
+    for name, value in (("BROADCAST_CLASSES", 0), ("COUNTED_BITS", 4), ("SLICE_BITS", 4)):
+        monkeypatch.setattr(D, name, value, raising=False)
+    plans, cut = [], D.cut
+    monkeypatch.setattr(D, "cut", lambda x: plans.append(x) or cut(x))
+    found = D.similar_pairs(df)
+    assert "Broadcast" not in "".join(x._jdf.queryExecution().sparkPlan().toString() for x in (*plans, found))
+    assert {(r.class_a, r.class_b) for r in found.collect()} == expected and len(expected) > 50
+
+
 @pytest.mark.parametrize(("counts", "status"), [((9, 1), "WARN"), ((2, 1), "SKIP"), ((4, 2), "WARN"), ((11, 6), "PASS"), ((1, 1, 1), "SKIP"), ((8, 1, 1), "WARN"), ((10,), "WARN"), ((5, 4, 4), "PASS")])
 def test_dominance_is_exact_at_its_bounds(spark, counts, status):
     df = rows(spark, *({"input": f"q {i} {j}", "output": f"label{i}"} for i, c in enumerate(counts) for j in range(c)))
