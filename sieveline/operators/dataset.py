@@ -425,6 +425,7 @@ def check_report_whole(rows: DataFrame) -> DataFrame:
 
     As there, size, both vocabularies, outcome field, difficulty and coverage have a row only where they say something, and shape passes only
     without invalid rows. The ceiling risk is the worse of the outputs' and the outcome field's.
+    Every check ends in a few rows for a dataset, and is run by itself: one plan of all of them takes more memory than a driver may have.
     """
     row = lambda df, check, status, count: df.select(KEY, F.lit(check).alias("check"), status.alias("status"), count.cast("long").alias("count"))
     c = F.col
@@ -433,7 +434,7 @@ def check_report_whole(rows: DataFrame) -> DataFrame:
     risks = answer_dominance(rows).select(KEY, "status", "m").unionByName(outcome.select(KEY, "status", "m"))
     severity = F.when(c("status") == "WARN", 2).when(c("status") == "SKIP", 1).otherwise(0)
     words = lambda df: df.groupBy(KEY).agg(F.count("*").alias("words"))
-    out = check_report(rows).where(c("check") != "dataset-ceiling-risk")
+    out = cut(check_report(rows).where(c("check") != "dataset-ceiling-risk"))
     for p in (
         row(risks.groupBy(KEY).agg(F.max(F.struct(severity.alias("v"), "m", "status")).alias("x")), "dataset-ceiling-risk", c("x.status"), c("x.m")),
         row(label_counts(rows).where("scoreable_rows = 0 OR (without_input = 0 AND unlabelled_rows = 0)"), "dataset-shape", when(c("scoreable_rows") == 0, "FAIL"), c("scoreable_rows")),
@@ -449,7 +450,7 @@ def check_report_whole(rows: DataFrame) -> DataFrame:
         row(difficulty_coverage(rows).where("difficulty_status <> 'NONE'"), "dataset-difficulty", c("difficulty_status"), c("bands")),
         row(scenario_coverage(rows).where("status <> 'NONE'"), "dataset-coverage", c("status"), c("scenarios")),
     ):
-        out = out.unionByName(p)
+        out = out.unionByName(cut(p))
     return out
 
 

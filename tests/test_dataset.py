@@ -112,3 +112,10 @@ def test_whole_report_has_every_check(spark):
     made = D.check_report_whole(rows(spark, *({"input": f"q{k}", "output": "x", "source": "synthetic"} for k in range(3)))).collect()
     assert [(r.status, r["count"]) for r in made if r.check == "dataset-coverage"] == [("WARN", 0)]
     assert D.check_report_whole(rows(spark).limit(0)).collect() == []
+
+
+def test_checks_of_the_whole_report_are_planned_one_by_one(spark):
+    made = D.check_report_whole(rows(spark, *({"input": f"q{k} a b", "output": f"x{k}"} for k in range(3))))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    assert {"dataset-near-duplicates", "dataset-integrity"} <= {r.check for r in made.collect()}
