@@ -1,5 +1,6 @@
 """Operators over documents: the tokenizer's own library, brute force, and texts garbled here."""
 
+import itertools
 import random
 import re
 
@@ -160,6 +161,40 @@ def test_margin_is_validated_on_whole_texts(spark, monkeypatch):
     assert garbled.train(spark.createDataFrame([(1, text, None), (2, " ", None)], DOCUMENTS)) == [text]
 
 
+def test_all_records_train_and_are_held_out(spark, monkeypatch):
+    # More records than were once sampled; the three letters of each are its own.
+    own = ["".join(x) for x in itertools.islice(itertools.product("abcdefghijklmnopqrst", repeat=3), 7000)]
+    odd = ["M\u00dcLLER PR\u00dcFT F\u00dcR UNS"] * 40 + ["\u00c9T\u00c9 \u00c0 NO\u00cbL 12 34"] * 40 + ["9 8 7", " ", None, "jusqu\ufffd mardi"]
+    df = spark.createDataFrame([(k, t, None) for k, t in enumerate(own + odd)], DOCUMENTS)
+    asked = []
+    learned = garbled.learned
+    monkeypatch.setattr(garbled, "learned", lambda given: asked.append(len(given)) or learned(given))
+    here = garbled.train(df)
+    monkeypatch.setattr(garbled, "LOCAL_CHARS", 0)
+    for few in (garbled.COUNTED_TOKENS, garbled.COUNTED_GRAMS), (100, 500):
+        monkeypatch.setattr(garbled, "COUNTED_TOKENS", few[0])
+        monkeypatch.setattr(garbled, "COUNTED_GRAMS", few[1])
+        apart = garbled.train(clashing(df))
+        assert (bytes(apart[0].rows), apart[1]) == (here[0].rows, here[1])
+    assert asked == [len(own) + len(odd) - 2]
+    assert all(here[0].count(ord(a) << 42 | ord(b) << 21 | ord(c)) == 1 for a, b, c in own)
+    assert here[0].count(garbled.TEXTS) == len(own) + len(odd) - 3
+
+
+def test_same_model_at_any_size(spark, texts, monkeypatch):
+    learned = garbled.learned([t for t in texts if t and t.strip()])
+    monkeypatch.setattr(garbled, "LOCAL_CHARS", 0)
+    df = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], DOCUMENTS)
+    model, margin = garbled.train(df)
+    assert bytes(model.rows) == learned[0].rows and margin == learned[1]
+
+
+def test_gain_at_a_place(spark):
+    given = [5, 7, 7, 999, 1000, 1_000_000, 3_000_001, 3_000_000, 12_345_678_901]
+    df = spark.createDataFrame([(g,) for g in given], "gain long")
+    assert [garbled.nth_gain(df, k) for k in range(11)] == [*sorted(given, reverse=True), 0, 0]
+
+
 def test_garbled_rows(spark, texts):
     base = [t for t in texts if t and not garbled.suspicious(t)][:400]
     odd = [(1001, None), (1002, ""), (1003, "plain"), (1004, "caf&eacute; %C3%A9 \\u00e9"), (1005, "jusqu\ufffd mardi"), (1006, "M\u00c3\u00bcller, pr\u00c3\u00bcfen f\u00c3\u00bcr"), (1007, "M\u00c3\u00bcller, pr\u00c3\u00bcfen f\u00c3\u00bcr")]
