@@ -4,7 +4,7 @@ Rows that share a writer (in ``id``) or an account (in ``input``), directly or t
 of the graph are writers and accounts, coded as whole numbers without collisions; a row links its keys. Borůvka's
 algorithm contracts it: each component takes its least edge, components joined by these edges become one, and edges
 inside a component go. The edges taken are the spanning forest, kept in a table. A round at least halves the
-components that still have edges, and every step is a join or an aggregation with partial sums, so a key or a
+components that still have edges; its roots are led to those of later rounds at the end. Every step is a join or an aggregation with partial sums, so a key or a
 component of any size is never gathered.
 
 Rows with neither key are groups of their own. Nulls have no key, repeated rows are members like any other, an empty table has no group.
@@ -12,12 +12,14 @@ Rows with neither key are groups of their own. Nulls have no key, repeated rows
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import side
 from sieveline.operators.priority import priority
-from sieveline.session import cut, written
+from sieveline.session import cut, cut_counted, written
 
 WRITER = r"(?<![\p{L}\p{N}])[wW]([0-9]{8})(?!\p{N})"
 ACCOUNT = r"(?<![\p{L}\p{N}])[A-Za-z]{2}[^\p{L}\p{N}]*+[0-9]{6}(?![\p{L}\p{N}])"
@@ -38,36 +40,56 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.select("row_id", side(F.col("split")).alias("side"), F.array_distinct(F.concat(writers, F.transform(found, code))).alias("keys"))
 
 
-def contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of all nodes, and the spanning forest (a, b, w) as a written table; ``edges`` has a, b and a weight w.
+def rooted(pointers: DataFrame, far: int) -> DataFrame:
+    """``pointers`` (u, p, done), each led to its root; ``far`` may not be there yet. ``done``: p is known to be a root.
+
+    Jumps double what a pointer spans, a job each. A root has no pointer or one to itself.
+    """
+    while far:
+        up = pointers.select(F.col("u").alias("p"), F.col("p").alias("q"), F.col("done").alias("sure"))
+        nearer = pointers.join(up.hint("merge"), "p", "left").select("u", F.coalesce("q", "p").alias("p"), (F.col("q").isNull() | F.col("sure")).alias("done"))
+        pointers, far = cut_counted(nearer, "NOT done")
+    return pointers
+
+
+def contract(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of all nodes, and the spanning forest (a, b, w) as a written table; ``edges`` are ``n`` rows with a, b and a weight w, read several times.
 
     Weights may tie: (w, a, b) orders edges totally, as Borůvka's algorithm needs.
     """
-    # Merged, not broadcast: what rounds broadcast would pile up on the driver.
-    spark = edges.sparkSession
-    live = cut(edges.select("a", "b", "w", F.col("a").alias("u"), F.col("b").alias("v")))
-    labels = cut(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
-    forest = spark.createDataFrame([], "a long, b long, w long")
-    while not live.isEmpty():
-        both = live.select("u", "v", "a", "b", "w").unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v"), "a", "b", "w"))
-        least = cut(both.groupBy("u").agg(F.min(F.struct("w", "a", "b", "v")).alias("e")).select("u", "e.*"))
-        forest = forest.unionByName(least.select("a", "b", "w").distinct())
+    # Merged, not broadcast, and as few jobs as can be, each with its count: what jobs leave on the driver piles up.
+    live = edges.select("a", "b", "w", F.col("a").alias("u"), F.col("b").alias("v"))
+    rounds, forest = [], edges.select("a", "b", "w").where("false")
+    while n:
+        both = live.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("end"), "a", "b", "w")
+        least = both.groupBy("end.u").agg(F.min(F.struct("w", "a", "b", "end.v")).alias("e")).select("u", "e.*")
         # Two components that chose the same edge point at each other; the smaller one becomes the root.
         other = least.select(F.col("u").alias("v"), F.col("v").alias("back"))
-        parent = cut(least.select("u", "v").join(other.hint("merge"), "v", "left").select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("p")))
-        while True:
-            up = parent.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            nearer = cut(parent.join(up.hint("merge"), "p").select("u", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
-            parent = nearer.select("u", "p")
-            if nearer.where("moved").isEmpty():
-                break
-        labels = cut(labels.join(parent.select(F.col("u").alias("root"), "p").hint("merge"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+        same = F.col("back") == F.col("u")
+        chosen = least.join(other.hint("merge"), "v").select("u", F.when(same & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("p"), same.alias("done"), "a", "b", "w")
+        hooks, far = cut_counted(chosen, "NOT done")
+        # All but the root of a new component bring an edge of their own, as the root's is that of the one it points at.
+        forest = forest.unionByName(hooks.where("u <> p").select("a", "b", "w"))
+        parent = rooted(hooks.select("u", "p", "done"), far)
+        rounds.append(parent)
         left, right = parent.select("u", F.col("p").alias("nu")), parent.select(F.col("u").alias("v"), F.col("p").alias("nv"))
         moved = live.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where("nu <> nv")
         # Of parallel edges between two components only the least can be taken.
         low, high = F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")
-        live = cut(moved.groupBy(low, high).agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.a", "e.b", "e.w", "u", "v"))
-    return labels, written(forest, "spanning-forest")
+        live, n = cut_counted(moved.groupBy(low, high).agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.a", "e.b", "e.w", "u", "v"), "true")
+    return labelled(edges, rounds), written(forest, "spanning-forest")
+
+
+def labelled(edges: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """(node, root) of the nodes of ``edges``. The first of the ``rounds`` has all nodes; a later one what were roots before, so that a component gets a pointer once."""
+    if not rounds:
+        return edges.where("false").select(F.col("a").alias("node"), F.col("a").alias("root"))
+    first, *later = (r.select("u", "p") for r in rounds)
+    if not later:
+        return first.toDF("node", "root")
+    pointers = [r.where("u <> p").withColumn("done", F.lit(r is later[-1])) for r in later]
+    up = rooted(reduce(DataFrame.unionByName, pointers), len(later) - 1).select(F.col("u").alias("p"), F.col("p").alias("q"))
+    return cut(first.join(up.hint("merge"), "p", "left").select(F.col("u").alias("node"), F.coalesce("q", "p").alias("root")))
 
 
 def links(keys: DataFrame) -> DataFrame:
@@ -82,8 +104,8 @@ def links(keys: DataFrame) -> DataFrame:
 
 def components(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, group_id, n_rows, tuning, heldout) of every key of ``keys``, which is read several times, and the spanning forest."""
-    edges = cut(links(keys))
-    labels, forest = contract(edges.where("a <> b"))
+    edges, n = cut_counted(links(keys), "a <> b")
+    labels, forest = contract(edges.where("a <> b"), n)
     loops = edges.where("a = b").select(F.col("a").alias("node")).join(labels, "node", "left_anti").select("node", F.col("node").alias("root"))
     labels = labels.unionByName(loops)
     by_key = keys.where(F.size("keys") > 0).groupBy(F.get("keys", F.lit(0)).alias("node")).agg(

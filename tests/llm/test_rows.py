@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.llm import filters, formatting, groups, ledger, overlap, quota, row_plans
+from sieveline.session import cut_counted
 from tests.helpers import DATA, clashing, rows, same_as_sql
 
 
@@ -141,6 +142,36 @@ def test_groups_against_union_find(spark):
     assert groups.parted(df.limit(0)).collect() == [] and groups.assign(df.limit(0)).collect() == []
 
 
+def test_contraction_of_many_rounds_takes_few_jobs(spark):
+    """Chains in random order take several rounds; what each job leaves on the driver piles up."""
+    order = random.Random(5)
+    links = [(k, k + 1) for k in range(150)] + [(k, k + 1) for k in range(200, 230)] + [(k, k + 1) for k in range(300, 340, 2)]
+    order.shuffle(links)
+    keys = spark.createDataFrame([(i, "tuning" if i % 2 else "heldout", list(link)) for i, link in enumerate(links, 1)], "row_id long, side string, keys array<long>")
+    sc = spark.sparkContext
+    sc.setJobGroup("contraction", "")
+    nodes, forest = groups.components(keys)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("contraction"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    whole = lambda k: 0 if k <= 150 else 200 if k <= 230 else k - k % 2
+    members = collections.defaultdict(list)
+    for i, (a, _) in enumerate(links, 1):
+        members[whole(a)].append(i)
+    got = nodes.select("node", "group_id", "n_rows").collect()
+    assert {r.node: (r.group_id, r.n_rows) for r in got} == {k: (min(members[whole(k)]), len(members[whole(k)])) for link in links for k in link} and len(got) == 151 + 31 + 40
+    assert sorted((r.a, r.b, r.w) for r in forest.collect()) == sorted((a, b, i) for i, (a, b) in enumerate(links, 1))
+    assert jobs <= 100
+
+
+def test_rows_are_counted_as_they_are_cut(spark):
+    odd = spark.range(20).where("id % 2 = 1")
+    for df, condition, n in ((odd, "id > 10", 5), (odd, "id > 99", 0), (odd.where("id < 0"), "true", 0), (odd.groupBy("id").count(), "count = 1", 10), (spark.range(0).join(odd.hint("merge"), "id"), "true", 0), (odd.select(F.lit(None).cast("boolean").alias("b")), "b", 0)):
+        kept, met = cut_counted(df, condition)
+        assert met == n and kept.columns == df.columns and sorted(kept.collect()) == sorted(df.collect())
+    with pytest.raises(Exception, match="x"):
+        cut_counted(odd.select(F.raise_error(F.lit("x")).alias("x")), "true")
+
+
 def test_groups_meet_the_proportions(spark):
     df = rows(spark, *({"id": f"w{k:08d}", "input": ""} for k in range(2000)))
     n = collections.Counter(r.assigned for r in groups.assign(df).collect())
