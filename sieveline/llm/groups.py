@@ -4,8 +4,8 @@ Rows that share a writer (in ``id``) or an account (in ``input``), directly or t
 of the graph are writers and accounts, coded as whole numbers without collisions; a row links its keys. Borůvka's
 algorithm contracts it: each component takes its least edge, components joined by these edges become one, and edges
 inside a component go. The edges taken are the spanning forest, kept in a table. A round at least halves the
-components that still have edges; its roots are led to those of later rounds at the end. Every step is a join or an aggregation with partial sums, so a key or a
-component of any size is never gathered.
+components that still have edges; its roots are led to those of later rounds at the end. Every step is a join or an
+aggregation with partial sums, so a key or a component of any size is never gathered.
 
 Rows with neither key are groups of their own. Nulls have no key, repeated rows are members like any other, an empty table has no group.
 """
